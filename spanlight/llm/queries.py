@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op4_byte_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .label_shards import op10_label_shards
+from .language_id import op9_language_id
+from .media import op1_webp_media
 from .mixing import OP2_SQL, op2_poisson_mix
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_webp_media": op1_webp_media,
     "op2_poisson_mix": op2_poisson_mix,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity": op5_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_label_shards": op10_label_shards,
 }
 
