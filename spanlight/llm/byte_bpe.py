@@ -7,8 +7,8 @@ read once from left to right.  A state of the transducer is the last token
 emitted and the bytes read since; it branches over the places where a token
 that is still incomplete may start.  As soon as all branches agree on a token it
 is emitted, so lookahead is bounded by the longest token.  States and their
-moves are made when first needed and kept, up to a bound, after which they are
-made anew.
+moves are made when first needed and kept, up to a bound; further ones are made
+for the moment.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ._spark import documents
 
-#: States, pieces and pairs that a worker keeps; it starts afresh beyond.
-MAX_KEPT = 400_000
+#: States that a worker keeps, and half of the pairs.
+MAX_KEPT = 100_000
+#: Pieces whose ids a worker keeps; it starts afresh beyond.
+MAX_PIECES = 400_000
 #: Ids decoded at a time.
 DECODE_IDS = 8_192
 
@@ -50,7 +52,7 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece):
-        if len(self) >= MAX_KEPT:
+        if len(self) >= MAX_PIECES:
             self.clear()
         self[piece] = found = np.array(self.encode(piece.encode("utf-8")), "<u4").tobytes()
         return found
@@ -61,78 +63,108 @@ class Transducer:
         import regex
 
         self.ranks = ranks
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = token_bytes(ranks)
         self.opens = {token[:k] for token in ranks for k in range(1, len(token))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple[int, bytes], _State] = {}
+        self.start = _State(-1, b"", (-1,), (0,), [0])
+        self.split_of: list[list[int] | None] = [None] * len(self.bytes_of)
+        self.single = [bytes([k]) for k in range(256)]
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.piece)
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges applied one by one, lowest rank first, leftmost first; the definition."""
+    def merged(self, data: bytes, down_to: int = 1) -> list[int]:
+        """The merges applied one by one, lowest rank first, leftmost first, till so many tokens are left; the definition."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if best == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> list[int]:
+        """The two tokens that the last merge of this one joins; none for a byte."""
+        if (known := self.split_of[token]) is None:
+            data = self.bytes_of[token]
+            known = self.split_of[token] = self.merged(data, 2) if len(data) > 1 else []
+        return known
+
     def follows(self, a: int, b: int) -> bool:
-        """Whether the merges leave a border between the two."""
+        """Whether the merges leave a border between the two.
+
+        Takes merges back, the latest first, and looks whether the tokens then
+        at the border would have been merged across it earlier.
+        """
         if a < 0:
             return True
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) >= 4 * MAX_KEPT:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
-
-    def _state(self, previous: int, pending: bytes, last: tuple, came: tuple, live: tuple) -> _State:
-        if (found := self.states.get((previous, pending))) is None:
-            found = self.states[previous, pending] = _State(previous, pending, last, came, live)
-        return found
+        if (known := self.pairs.get((a, b))) is not None:
+            return known
+        left, right, bound, fine = a, b, 1 << 60, None
+        while fine is None:
+            if self.ranks.get(self.bytes_of[left] + self.bytes_of[right], 1 << 60) < bound:
+                fine = False
+                break
+            inner, outer = self.halves(left), self.halves(right)
+            if inner and (left > right or not outer):
+                left, bound = inner[1], left
+            elif outer:
+                right, bound = outer[0], right + 1  # of equal ranks the one on the left comes first
+            else:
+                fine = True
+        if len(self.pairs) >= 2 * MAX_KEPT:
+            self.pairs.clear()
+        self.pairs[a, b] = fine
+        return fine
 
     def _move(self, state: _State, byte: int):
-        pending = state.pending + bytes([byte])
-        end = len(pending)
+        pending = state.pending + self.single[byte]
+        end, rank = len(pending), self.ranks.get
         for start in state.live:
-            token = self.ranks.get(pending[start:])
+            token = rank(pending[start:])
             if token is not None and self.follows(state.last[start], token):
                 break
         else:
             raise ValueError("a byte is no token of this vocabulary")
-        last, came = (*state.last, token), (*state.came, start)
-        live = (*(k for k in state.live if pending[k:] in self.opens), end)
-        common = None  # the furthest place that all branches pass
-        for k in live:
-            path = {k}
+        last, came, opens = (*state.last, token), (*state.came, start), self.opens
+        live = [k for k in state.live if pending[k:] in opens]
+        live.append(end)
+        out, cut = (), 0
+        if live[0]:  # else a token that begins at 0 may go on, and nothing is sure
+            common = None  # the furthest place that all branches pass
+            for k in live:
+                path = {k}
+                while k:
+                    k = came[k]
+                    path.add(k)
+                common = path if common is None else common & path
+            cut = k = max(common)
+            found = []
             while k:
+                found.append(last[k])
                 k = came[k]
-                path.add(k)
-            common = path if common is None else common & path
-        cut = max(common)
-        out, k = [], cut
-        while k:
-            out.append(last[k])
-            k = came[k]
-        after = self._state(last[cut], pending[cut:], last[cut:], tuple(max(c - cut, 0) for c in came[cut:]), tuple(k - cut for k in live))
-        if len(state.moves) < 256:
-            state.moves[byte] = (after, tuple(reversed(out)))
-        return after, reversed(out)
+            out = tuple(reversed(found))
+        previous = last[cut]
+        after = self.states.get((previous, pending[cut:]))
+        if after is None:
+            if cut:
+                pending, last, came, live = pending[cut:], last[cut:], tuple(max(c - cut, 0) for c in came[cut:]), [k - cut for k in live]
+            after = _State(previous, pending, last, came, live)
+            if len(self.states) < MAX_KEPT:
+                self.states[previous, pending] = after
+        if len(self.states) < MAX_KEPT:
+            state.moves[byte] = (after, out)
+        return after, out
 
     def piece(self, data: bytes) -> list[int]:
         """Tokens of one piece of the split."""
-        if len(self.states) >= MAX_KEPT:
-            self.states.clear()
-        state = self._state(-1, b"", (-1,), (0,), (0,))
+        state = self.start
         out: list[int] = []
         for byte in data:
             move = state.moves.get(byte)
             state, emitted = move if move is not None else self._move(state, byte)
-            out.extend(emitted)
+            if emitted:
+                out += emitted
         if state.rest is None:
             rest, k = [], len(state.pending)
             while k:
@@ -145,11 +177,19 @@ class Transducer:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
-    def decode(self, ids: bytes):
-        """Bytes of the tokens, some at a time."""
-        numbers = np.frombuffer(ids, "<u4")
-        for k in range(0, len(numbers), DECODE_IDS):
-            yield b"".join(map(self.bytes_of.__getitem__, numbers[k : k + DECODE_IDS].tolist()))
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def decode_parts(bytes_of: list[bytes], ids: bytes):
+    """Bytes of the tokens, some at a time."""
+    numbers = np.frombuffer(ids, "<u4")
+    for k in range(0, len(numbers), DECODE_IDS):
+        yield b"".join(map(bytes_of.__getitem__, numbers[k : k + DECODE_IDS].tolist()))
 
 
 class Utf8Stream:
@@ -225,20 +265,20 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     return docs.mapInArrow(encode, f"{schema}, `{ids_col}` binary" if names else f"`{ids_col}` binary")
 
 
-def decode_bpe(tokens: DataFrame, path: str, pattern: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
+def decode_bpe(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """Columns of ``tokens`` and ``text_col``, the text of the ids, decoded in parts; null ids give the empty text."""
-    ranks, key = _shared(tokens, path, pattern)
+    ranks, _ = _shared(tokens, path, "")
     names, schema = _kept(tokens, text_col)
 
     def decode(batches):
-        coder = _transducer(ranks.value, pattern, key)
+        bytes_of = token_bytes(ranks.value)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
             for at in range(0, len(ids), 256):
                 part, texts = batch.slice(at, 256), []
                 for each in ids.slice(at, 256):
                     stream = Utf8Stream()
-                    texts.append("".join([*map(stream.feed, coder.decode(each.as_py() or b"")), stream.finish()]))
+                    texts.append("".join([*map(stream.feed, decode_parts(bytes_of, each.as_py() or b"")), stream.finish()]))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, text_col])
 
     return tokens.mapInArrow(decode, f"{schema}, `{text_col}` string" if names else f"`{text_col}` string")
@@ -253,7 +293,7 @@ def vocabulary() -> tuple[str, str]:
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     tokens = encode_bpe(documents(spark, sf_dir).select("doc_id", "text"), path, pattern).drop("text")
-    decoded = decode_bpe(tokens, path, pattern)
+    decoded = decode_bpe(tokens, path)
     return decoded.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -8,6 +8,7 @@ from .label_shards import op10_label_shards
 from .language_id import op9_language_id
 from .media import op1_webp_media
 from .mixing import OP2_SQL, op2_poisson_mix
+from .ngram_join import op7_ngram_jaccard
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_poisson_mix": op2_poisson_mix,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_label_shards": op10_label_shards,
@@ -22,5 +24,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_poisson_mix": OP2_SQL,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": OP8_SQL,
 }
