@@ -24,6 +24,6 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         down = cut_lineage(both.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")).where("to != a"))
         low = lambda column, df: df.join(down.withColumnRenamed("a", column), column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
-        state = cut_lineage(low("component", state))
-        links = cut_lineage(low("b", low("a", links)).where("a != b").distinct())
+        state = cut_lineage(low("component", state).select("node", "component"))
+        links = cut_lineage(low("b", low("a", links)).where("a != b").select("a", "b").distinct())
     raise RuntimeError("components didn't settle")
