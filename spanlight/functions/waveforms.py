@@ -112,9 +112,13 @@ def squared_deviations(data: Column) -> Column:
 
 def goodness_of_split(data: Column) -> Column:
     """For each sample, 1 - (deviations left of it + deviations from it on) / all."""
-    left, right = squared_deviations(data), F.reverse(squared_deviations(F.reverse(data)))
-    whole = F.element_at(left, -1)
-    return F.transform(left, lambda x, i: F.when(whole > 0, 1 - (x + F.get(right, i)) / whole).otherwise(F.lit(0.0)))
+    both = F.array(F.struct(squared_deviations(data).alias("left"), F.reverse(squared_deviations(F.reverse(data))).alias("right")))
+
+    def share(s: Column) -> Column:
+        whole = F.element_at(s["left"], -1)
+        return F.zip_with(s["left"], s["right"], lambda a, b: F.when(whole > 0, 1 - (a + b) / whole).otherwise(F.lit(0.0)))
+
+    return F.element_at(F.transform(both, share), 1)  # the one-element array binds both to a name, so that each is computed once
 
 
 def find_hits(records: DataFrame, threshold: Column, row_id: str = "row_id", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
