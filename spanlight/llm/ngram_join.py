@@ -39,7 +39,7 @@ from .components import connected_components
 MAX_HEAVY = 1 << 16
 #: Bytes of sets that a task joins at once.
 BLOCK_BYTES = 48 << 20
-#: Text that a task gathers before it writes blobs.
+#: Bytes of postings that a task gathers before it writes blobs.
 FLUSH_BYTES = 16 << 20
 
 _STEPS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -154,9 +154,9 @@ def _blobs(words: int, heavy, buckets: int):
                 keep = np.repeat(new, np.diff(bounds)) & ~_is_heavy(grams, heavy.value)
                 held.append((grams[keep], owner[keep]))
                 size += 16 * len(grams)
-            if size >= FLUSH_BYTES:
-                yield write(held)
-                held, size, seen = [], 0, set()
+                if size >= FLUSH_BYTES:
+                    yield write(held)
+                    held, size, seen = [], 0, set()
         if held:
             yield write(held)
 
@@ -164,7 +164,7 @@ def _blobs(words: int, heavy, buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(node, upper bits) of n-grams that several nodes of a bucket have."""
+    """(node, upper bits packed, their number) of n-grams that several nodes of a bucket have."""
     grams, owners = [], []
     for g, o, n in zip(*(table.column(k).to_pylist() for k in ("grams", "owners", "nodes")), strict=True):
         grams.append(_unsix(g))
@@ -184,7 +184,12 @@ def _shared(table: pa.Table) -> pa.Table:
     same = np.zeros(len(grams) + 1, bool)
     same[1:-1] = grams[1:] == grams[:-1]
     keep = same[1:] | same[:-1]
-    return pa.table({"node": owners[keep].view(np.int64), "gram": grams[keep].astype(np.int64)})
+    grams, owners = grams[keep], owners[keep]
+    order = np.argsort(owners, kind="stable")
+    packed, owners = _six(grams[order]), owners[order]
+    nodes, first = np.unique(owners, return_index=True)
+    cuts = [*first.tolist(), len(owners)]
+    return pa.table({"node": nodes.view(np.int64), "grams": pa.array([packed[6 * a : 6 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "many": np.diff(cuts).astype(np.int64)})
 
 
 def required(n: int, percent: int) -> int:
@@ -204,7 +209,7 @@ def _ordered(words: int, heavy, percent: int):
                 for k in range(len(bounds) - 1):
                     own = grams[bounds[k] : bounds[k + 1]]
                     often = _is_heavy(own, heavy.value)
-                    with_others = np.isin(own >> np.uint64(16), np.array(known[row + k].as_py() or [], np.uint64))
+                    with_others = np.isin(own >> np.uint64(16), _unsix(b"".join(known[row + k].as_py() or [])))
                     line = np.concatenate([own[with_others & ~often] >> np.uint64(1), own[often] >> np.uint64(1) | np.uint64(1 << 63)])
                     prefix = len(own) - required(len(own), percent) + 1 - (len(own) - len(line))
                     out.append((line.tobytes(), line[: max(prefix, 0)].view(np.int64).tolist()))
@@ -349,10 +354,10 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     kind = texts.schema["id"].dataType.simpleString()
     rows = cut_lineage(texts.mapInArrow(_nodes(words, heavy), f"id {kind}, n long, node long, n_heavy long"))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("n_heavy").alias("n_heavy"))
-    shared = texts.select("text").mapInArrow(_blobs(words, heavy, buckets), "bucket int, grams binary, owners binary, nodes binary").groupBy("bucket").applyInArrow(_shared, "node long, gram long")
-    shared = shared.groupBy("node").agg(F.collect_list("gram").alias("shared"))
+    shared = texts.select("text").mapInArrow(_blobs(words, heavy, buckets), "bucket int, grams binary, owners binary, nodes binary").groupBy("bucket").applyInArrow(_shared, "node long, grams binary, many long")
+    shared = shared.groupBy("node").agg(F.collect_list("grams").alias("shared"), F.sum("many").alias("many"))
     least = F.ceil(F.col("n") * percent / 100)
-    survivors = cut_lineage(nodes.join(shared, "node", "left").where(F.coalesce(F.size("shared"), F.lit(0)) + F.col("n_heavy") >= least).where(F.coalesce(F.size("shared"), F.lit(0)) + F.col("n_heavy") > 0))
+    survivors = cut_lineage(nodes.join(shared, "node", "left").where(F.coalesce("many", F.lit(0)) + F.col("n_heavy") >= F.greatest(least, F.lit(1))))
     with_text = survivors.where("rep IS NOT NULL").join(texts.where("id IS NOT NULL").withColumnRenamed("id", "rep"), "rep").select("node", "n", "shared", "text")
     sets = cut_lineage(_of_node(with_text, words).mapInArrow(_ordered(words, heavy, percent), "node long, n long, line binary, prefix array<long>").dropDuplicates(["node"]))
     meet = sets.select("node", F.explode("prefix").alias("gram"))
