@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .katz import op3_katz_backoff
 from .label_shards import op10_label_shards
 from .language_id import op9_language_id
 from .media import op1_webp_media
 from .mixing import OP2_SQL, op2_poisson_mix
 from .ngram_join import op7_ngram_jaccard
+from .repeats import op6_repeated_substrings
 from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_webp_media": op1_webp_media,
     "op2_poisson_mix": op2_poisson_mix,
+    "op3_katz_backoff": op3_katz_backoff,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
@@ -24,6 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_poisson_mix": OP2_SQL,
+    "op6_repeated_substrings": op6_repeated_substrings,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": OP8_SQL,
 }
