@@ -3,9 +3,9 @@
 1. Every text becomes a set of fingerprints of n-grams.  Equal sets are one
    node, named by a fingerprint of the set.
 2. The global order of n-grams: those in one node only, then those in several,
-   then *heavy* ones (in a good part of the documents of some batch); by
-   fingerprint within.  The middle class is found by counting nodes in hash
-   buckets of compact blobs.  A node that can link must have at least the
+   the rarest first (``MOST_COUNTED`` and more nodes are one class), then *heavy*
+   ones (in a good part of the documents of some batch); by fingerprint within.
+   Nodes are counted in hash buckets of compact blobs.  A node that can link must have at least the
    threshold's share of its n-grams in other nodes too; the others are done.
 3. Of the rest, nodes that share an n-gram of their prefixes (the first so many
    in the order that two linking nodes must meet there) form blocks.
@@ -42,6 +42,9 @@ BLOCK_BYTES = 48 << 20
 #: Bytes of postings that a task gathers before it writes blobs.
 FLUSH_BYTES = 16 << 20
 
+#: Numbers of nodes that the order tells apart.
+MOST_COUNTED = 62
+
 _STEPS = np.array([0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -112,13 +115,14 @@ def _nodes(words: int, heavy):
     return describe
 
 
-def _six(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _narrow(values: np.ndarray, width: int = 6) -> bytes:
+    """The lowest bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unsix(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _wide(data: bytes, width: int = 6) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
 
 
@@ -137,7 +141,7 @@ def _blobs(words: int, heavy, buckets: int):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             nodes, index = np.unique(owner[a:b], return_inverse=True)
             small = len(nodes) < 1 << 16
-            rows.append((_six(grams[a:b] >> np.uint64(16)), index.astype("<u2" if small else "<u4").tobytes(), nodes.tobytes()))
+            rows.append((_narrow(grams[a:b] >> np.uint64(16)), index.astype("<u2" if small else "<u4").tobytes(), nodes.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["bucket", "grams", "owners", "nodes"])
 
     def gather(batches):
@@ -164,10 +168,10 @@ def _blobs(words: int, heavy, buckets: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """(node, upper bits packed, their number) of n-grams that several nodes of a bucket have."""
+    """(node, packed n-grams, their number) of those that several nodes of a bucket have: upper bits, and above them the number of nodes."""
     grams, owners = [], []
     for g, o, n in zip(*(table.column(k).to_pylist() for k in ("grams", "owners", "nodes")), strict=True):
-        grams.append(_unsix(g))
+        grams.append(_wide(g))
         owners.append(np.frombuffer(n, np.uint64)[np.frombuffer(o, "<u2" if len(o) == len(g) // 3 else "<u4")])
     grams, owners = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(grams, kind="stable")
@@ -185,11 +189,13 @@ def _shared(table: pa.Table) -> pa.Table:
     same[1:-1] = grams[1:] == grams[:-1]
     keep = same[1:] | same[:-1]
     grams, owners = grams[keep], owners[keep]
+    _, which, n = np.unique(grams, return_inverse=True, return_counts=True)
+    grams = grams | np.minimum(n, MOST_COUNTED).astype(np.uint64)[which] << np.uint64(48)
     order = np.argsort(owners, kind="stable")
-    packed, owners = _six(grams[order]), owners[order]
+    packed, owners = _narrow(grams[order], 7), owners[order]
     nodes, first = np.unique(owners, return_index=True)
     cuts = [*first.tolist(), len(owners)]
-    return pa.table({"node": nodes.view(np.int64), "grams": pa.array([packed[6 * a : 6 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "many": np.diff(cuts).astype(np.int64)})
+    return pa.table({"node": nodes.view(np.int64), "grams": pa.array([packed[7 * a : 7 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "many": np.diff(cuts).astype(np.int64)})
 
 
 def required(n: int, percent: int) -> int:
@@ -209,8 +215,15 @@ def _ordered(words: int, heavy, percent: int):
                 for k in range(len(bounds) - 1):
                     own = grams[bounds[k] : bounds[k + 1]]
                     often = _is_heavy(own, heavy.value)
-                    with_others = np.isin(own >> np.uint64(16), _unsix(b"".join(known[row + k].as_py() or [])))
-                    line = np.concatenate([own[with_others & ~often] >> np.uint64(1), own[often] >> np.uint64(1) | np.uint64(1 << 63)])
+                    rank = np.zeros(len(own), np.uint64)  # 0: in this node only
+                    counted = np.sort(_wide(b"".join(known[row + k].as_py() or []), 7) << np.uint64(8))
+                    counted = np.sort((counted << np.uint64(8)) | (counted >> np.uint64(56)))  # upper bits first, then the number of nodes
+                    if len(counted):
+                        at = np.minimum(np.searchsorted(counted, own & ~np.uint64(0xFFFF)), len(counted) - 1)
+                        found = counted[at] >> np.uint64(16) == own >> np.uint64(16)
+                        rank[found] = counted[at[found]] & np.uint64(0xFFFF)
+                    rank[often] = 64
+                    line = np.sort(((rank << np.uint64(57)) | (own >> np.uint64(7)))[rank > 0])
                     prefix = len(own) - required(len(own), percent) + 1 - (len(own) - len(line))
                     out.append((line.tobytes(), line[: max(prefix, 0)].view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([node, n, pa.array([x for x, _ in out], pa.binary()), pa.array([p for _, p in out], pa.list_(pa.int64()))], ["node", "n", "line", "prefix"])
