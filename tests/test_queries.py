@@ -1,6 +1,7 @@
 """Each registered query of the library against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from spanlight.plans import queries
@@ -19,7 +20,7 @@ def oracle():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    return columns, [tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") else str(v) if not isinstance(v, (int, bool)) else float(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False, name=None)]
+    return columns, [tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") else str(v) if not isinstance(v, (int, bool)) else float(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False, name=None)]
 
 
 def key(row):
