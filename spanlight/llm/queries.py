@@ -28,7 +28,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_poisson_mix": OP2_SQL,
-    "op6_repeated_substrings": op6_repeated_substrings,
-    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_exact_dedup": OP8_SQL,
 }
