@@ -167,35 +167,60 @@ def _blobs(words: int, heavy, buckets: int):
     return gather
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(node, packed n-grams, their number) of those that several nodes of a bucket have: upper bits, and above them the number of nodes."""
-    grams, owners = [], []
-    for g, o, n in zip(*(table.column(k).to_pylist() for k in ("grams", "owners", "nodes")), strict=True):
-        grams.append(_wide(g))
-        owners.append(np.frombuffer(n, np.uint64)[np.frombuffer(o, "<u2" if len(o) == len(g) // 3 else "<u4")])
-    grams, owners = np.concatenate(grams), np.concatenate(owners)
-    order = np.argsort(grams, kind="stable")
-    grams, owners = grams[order], owners[order]
-    same = np.zeros(len(grams) + 1, bool)
-    same[1:-1] = grams[1:] == grams[:-1]
-    keep = same[1:] | same[:-1]  # several postings; of one node, perhaps
-    grams, owners = grams[keep], owners[keep]
-    order = np.lexsort((owners, grams))
-    grams, owners = grams[order], owners[order]
-    first = np.ones(len(grams), bool)
-    first[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
-    grams, owners = grams[first], owners[first]
-    same = np.zeros(len(grams) + 1, bool)
-    same[1:-1] = grams[1:] == grams[:-1]
-    keep = same[1:] | same[:-1]
-    grams, owners = grams[keep], owners[keep]
-    _, which, n = np.unique(grams, return_inverse=True, return_counts=True)
-    grams = grams | np.minimum(n, MOST_COUNTED).astype(np.uint64)[which] << np.uint64(48)
-    order = np.argsort(owners, kind="stable")
-    packed, owners = _narrow(grams[order], 7), owners[order]
-    nodes, first = np.unique(owners, return_index=True)
-    cuts = [*first.tolist(), len(owners)]
-    return pa.table({"node": nodes.view(np.int64), "grams": pa.array([packed[7 * a : 7 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "many": np.diff(cuts).astype(np.int64)})
+def _shared(parts: int):
+    """N-grams that several nodes of a bucket have, packed for each range of nodes."""
+
+    def find(table: pa.Table) -> pa.Table:
+        grams, owners = [], []
+        for g, o, n in zip(*(table.column(k).to_pylist() for k in ("grams", "owners", "nodes")), strict=True):
+            grams.append(_wide(g))
+            owners.append(np.frombuffer(n, np.uint64)[np.frombuffer(o, "<u2" if len(o) == len(g) // 3 else "<u4")])
+        grams, owners = np.concatenate(grams), np.concatenate(owners)
+        order = np.argsort(grams, kind="stable")
+        grams, owners = grams[order], owners[order]
+        same = np.zeros(len(grams) + 1, bool)
+        same[1:-1] = grams[1:] == grams[:-1]
+        keep = same[1:] | same[:-1]  # several postings; of one node, perhaps
+        grams, owners = grams[keep], owners[keep]
+        order = np.lexsort((owners, grams))
+        grams, owners = grams[order], owners[order]
+        first = np.ones(len(grams), bool)
+        first[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
+        grams, owners = grams[first], owners[first]
+        same = np.zeros(len(grams) + 1, bool)
+        same[1:-1] = grams[1:] == grams[:-1]
+        keep = same[1:] | same[:-1]
+        grams, owners = grams[keep], owners[keep]
+        _, which, n = np.unique(grams, return_inverse=True, return_counts=True)
+        grams = grams | np.minimum(n, MOST_COUNTED).astype(np.uint64)[which] << np.uint64(48)
+        order = np.argsort(owners, kind="stable")
+        packed, owners = _narrow(grams[order], 7), owners[order]
+        nodes, begin = np.unique(owners, return_index=True)
+        begin = np.append(begin, len(owners))
+        part = ((nodes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+        used, cut = np.unique(part, return_index=True)
+        cuts = list(zip(cut.tolist(), [*cut[1:].tolist(), len(nodes)], strict=False))
+        many = np.diff(begin).astype("<u4")
+        return pa.table(
+            {
+                "part": pa.array(used, pa.int32()),
+                "nodes": pa.array([nodes[i:j].tobytes() for i, j in cuts], pa.binary()),
+                "many": pa.array([many[i:j].tobytes() for i, j in cuts], pa.binary()),
+                "grams": pa.array([packed[7 * begin[i] : 7 * begin[j]] for i, j in cuts], pa.binary()),
+            }
+        )
+
+    return find
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """(node, packed n-grams, their number) from what ``_shared`` packed for a range of nodes: upper bits, and above them the number of nodes."""
+    nodes, many, grams = (np.frombuffer(b"".join(table.column(k).to_pylist()), kind) for k, kind in (("nodes", np.uint64), ("many", "<u4"), ("grams", np.uint8)))
+    owners = np.repeat(nodes, many)
+    packed = grams.reshape(-1, 7)[np.argsort(owners, kind="stable")].tobytes()
+    names, n = np.unique(owners, return_counts=True)
+    cuts = [0, *np.cumsum(n).tolist()]
+    return pa.table({"node": names.view(np.int64), "shared": pa.array([packed[7 * a : 7 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), "many": n.astype(np.int64)})
 
 
 def required(n: int, percent: int) -> int:
@@ -216,7 +241,7 @@ def _ordered(words: int, heavy, percent: int):
                     own = grams[bounds[k] : bounds[k + 1]]
                     often = _is_heavy(own, heavy.value)
                     rank = np.zeros(len(own), np.uint64)  # 0: in this node only
-                    counted = np.sort(_wide(b"".join(known[row + k].as_py() or []), 7) << np.uint64(8))
+                    counted = _wide(known[row + k].as_py() or b"", 7) << np.uint64(8)
                     counted = np.sort((counted << np.uint64(8)) | (counted >> np.uint64(56)))  # upper bits first, then the number of nodes
                     if len(counted):
                         at = np.minimum(np.searchsorted(counted, own & ~np.uint64(0xFFFF)), len(counted) - 1)
@@ -360,15 +385,16 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         raise ValueError("1 to 8 words, and over 50 percent")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(shuffle_partitions(spark), plan_bytes(texts) // (64 << 20))
+    buckets = min(max(shuffle_partitions(spark), plan_bytes(texts) // (64 << 20)), 1 << 20)  # a plan of unknown size is estimated at the most there is
     often = texts.select("text").mapInArrow(_heavy(words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_HEAVY)
     heavy = spark.sparkContext.broadcast(np.sort(often.toPandas()["gram"].to_numpy(np.int64).view(np.uint64)))
 
     kind = texts.schema["id"].dataType.simpleString()
     rows = cut_lineage(texts.mapInArrow(_nodes(words, heavy), f"id {kind}, n long, node long, n_heavy long"))
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("n_heavy").alias("n_heavy"))
-    shared = texts.select("text").mapInArrow(_blobs(words, heavy, buckets), "bucket int, grams binary, owners binary, nodes binary").groupBy("bucket").applyInArrow(_shared, "node long, grams binary, many long")
-    shared = shared.groupBy("node").agg(F.collect_list("grams").alias("shared"), F.sum("many").alias("many"))
+    postings = texts.select("text").mapInArrow(_blobs(words, heavy, buckets), "bucket int, grams binary, owners binary, nodes binary")
+    packed = postings.groupBy("bucket").applyInArrow(_shared(buckets), "part int, nodes binary, many binary, grams binary")
+    shared = packed.groupBy("part").applyInArrow(_merged, "node long, shared binary, many long")
     least = F.ceil(F.col("n") * percent / 100)
     survivors = cut_lineage(nodes.join(shared, "node", "left").where(F.coalesce("many", F.lit(0)) + F.col("n_heavy") >= F.greatest(least, F.lit(1))))
     with_text = survivors.where("rep IS NOT NULL").join(texts.where("id IS NOT NULL").withColumnRenamed("id", "rep"), "rep").select("node", "n", "shared", "text")
