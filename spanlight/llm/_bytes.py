@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled by one round of array operations (a longer document is one round alone).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _ODD_INV = pow(_ODD, -1, 1 << 64)
