@@ -512,21 +512,29 @@ def _fill_plain(reader: BitReader, green: Code, dist: Code, hop_by: np.ndarray,
         part[: len(tail)] = tail
         triples = part[:-2][:many] | part[1:-1][:many] << 8 | part[2:][:many] << 16
         word = (triples[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1) & np.uint32(green.mask)
-        hop = memoryview(np.arange(8 * many, dtype=np.int32) + hop_by[word])
         base, stop = 8 * low, 8 * many
+        hop = np.arange(stop + 16, dtype=np.int32)  # places behind the window lead to themselves, as matches do
+        hop[:stop] += hop_by[word]
+        two = hop[hop]
+        four = memoryview(two[two])
         p = reader.at - base
         while at < total and p < stop:
-            places = []
-            add = places.append
-            for _ in range(total - at):
-                after = hop[p]
+            heads = []
+            add = heads.append
+            for _ in range(-(-(total - at) // 4)):
+                after = four[p]
                 if after == p:
                     break
                 add(p)
                 p = after
-                if p >= stop:
-                    break
-            if places:
+            if heads:
+                head = np.array(heads)
+                second = two[head]
+                places = np.stack([head, hop[head], second, hop[second]], 1).reshape(-1)
+                places = places[hop[places] != places]
+                if len(places) > total - at:  # words after the image's end
+                    p = int(places[total - at])
+                    places = places[: total - at]
                 out[at : at + len(places)] = green.symbol[word[places]].astype(np.uint32) << 8 | level
                 at += len(places)
             if at < total and p < stop:
