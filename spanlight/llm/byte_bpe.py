@@ -26,7 +26,7 @@ from ._spark import documents
 
 #: States that a worker keeps, and half of the pairs.
 MAX_KEPT = 100_000
-#: Pieces whose ids a worker keeps; it starts afresh beyond.
+#: Pieces whose ids a worker keeps while it encodes a partition; it starts afresh beyond.
 MAX_PIECES = 400_000
 #: Ids decoded at a time.
 DECODE_IDS = 8_192
@@ -261,6 +261,7 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
                 part = batch.slice(at, 256)
                 ids = [coder.encode(t.as_py()) for t in texts.slice(at, 256)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary())], [*names, ids_col])
+        coder.pieces.clear()  # the worker may run other operators next
 
     return docs.mapInArrow(encode, f"{schema}, `{ids_col}` binary" if names else f"`{ids_col}` binary")
 
