@@ -271,11 +271,13 @@ def find_matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     while step < MIN_MATCH:
         word = B.mix64(word[:-step] * odd + word[step:])
         step *= 2
-    order = np.argsort(word, kind="stable")
-    same = word[order[1:]] == word[order[:-1]]
-    again, earlier = order[1:][same], order[:-1][same]
-    by_place = np.argsort(again)
-    again, earlier = again[by_place].tolist(), earlier[by_place].tolist()
+    # upper bits of the fingerprint, and the place below them; what follows compares the pixels
+    bits = np.uint64(n.bit_length())
+    keys = np.sort((word >> bits << bits) | np.arange(len(word), dtype=np.uint64))
+    same = keys[1:] >> bits == keys[:-1] >> bits
+    order = keys & ((np.uint64(1) << bits) - np.uint64(1))
+    pairs = np.sort(order[1:][same] << np.uint64(32) | order[:-1][same])
+    again, earlier = (pairs >> np.uint64(32)).tolist(), (pairs & np.uint64(0xFFFFFFFF)).tolist()
     out, k = [], 0
     while k < len(again):
         at, back = again[k], again[k] - earlier[k]
