@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, with digests of them and of what they decode to."""
     path, pattern = vocabulary()
-    decoded = decode_bpe(encode_bpe(docs, path, pattern), path)
+    decoded = decode_bpe(encode_bpe(docs, path, pattern, keep_learned=False), path)
     return decoded.select(
         *["doc_id", "lang", "source", "token_ids"],
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

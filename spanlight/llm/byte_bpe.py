@@ -14,6 +14,7 @@ for the moment.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 
 import numpy as np
@@ -243,12 +244,14 @@ def _kept(docs: DataFrame, *own: str) -> tuple[list[str], str]:
     return names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", keep_learned: bool = True) -> DataFrame:
     """Columns of ``docs`` and ``ids_col``: the ids as little-endian unsigned 32-bit integers in a binary; a column of that name is replaced.
 
     ``path`` is read by the driver and the ranks (a vocabulary, of fixed size)
     are broadcast.  Null and empty texts have no ids.  Repeated rows get equal
-    ids.  Whole texts are encoded, of any length.
+    ids.  Whole texts are encoded, of any length.  A worker keeps the states it
+    has learned for its next partitions; without ``keep_learned`` it lets go of
+    them at the end of each, for jobs whose other operators use the same workers.
     """
     ranks, key = _shared(docs, path, pattern)
     names, schema = _kept(docs, ids_col)
@@ -262,6 +265,10 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
                 ids = [coder.encode(t.as_py()) for t in texts.slice(at, 256)]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary())], [*names, ids_col])
         coder.pieces.clear()  # the worker may run other operators next
+        if not keep_learned:
+            del coder
+            _compiled.clear()
+            gc.collect()  # states refer to each other
 
     return docs.mapInArrow(encode, f"{schema}, `{ids_col}` binary" if names else f"`{ids_col}` binary")
 
