@@ -10,14 +10,17 @@ A string of ``length`` bytes that occurs twice is found by its buckets:
 2. *Refinement.*  A bucket is sorted by the bucket identifier of the whole
    stretch that the windows of an anchor cover.  Where several members share it
    all these windows repeat, and they are done.
-3. *Refinement by later offsets.*  In buckets with several different stretches
-   that leaves open which windows repeat; there every window (one stretch of
-   each kind stands for all) is put in buckets by its own first q-gram and
-   refined by the bucket identifier q bytes further on, until the window is
-   covered.  A bucket of several windows repeats.
+3. *Refinement by blocks.*  In buckets with several different stretches that
+   leaves open which windows repeat; there an anchor's windows (one stretch of
+   each kind stands for all) are cut into blocks by the distance to the anchor,
+   and put in buckets by what all windows of a block share.  A bucket of one is
+   done.
+4. *Refinement by later offsets.*  Each window of the blocks left is put in
+   buckets by its own first q-gram and refined by the bucket identifier q bytes
+   further on, until the window is covered.  A bucket of several windows repeats.
 
 Identifiers are fingerprints of 64 bits, two for a window.  Only anchors, and
-windows of the third step, are shuffled; texts are joined by document twice.
+windows of the last step, are shuffled; texts are joined by document twice.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import cut_lineage, documents
+from ._spark import documents, stored
+
+#: Distances from window start to anchor that are looked at together.
+BLOCK = 16
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -54,47 +60,43 @@ def anchors(data: np.ndarray, length: int, q: int):
         return (np.zeros(0, np.int64),) * 4, sums
     at = np.arange(n - q + 1)
     grams = B.span_hash(sums, at, at + q)
-    width = length - q + 1
-    least = _sliding(grams, width, np.minimum)  # by window start
-    runs = np.flatnonzero(np.diff(least)) + 1
-    heads, tails = np.concatenate([[0], runs]), np.concatenate([runs, [len(least)]]) - 1
-    # a run of windows with one least fingerprint; the anchor is its leftmost place in the first window, and equal q-grams after it follow
-    place, first, last = [], [], []
-    chosen = np.flatnonzero(grams == _sliding(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)[: len(grams)])
-    order = chosen[np.lexsort((chosen, grams[chosen]))]
-    sorted_grams = grams[order]
-    # leftmost place at or behind a head: search in the places of equal fingerprints
-    for a, b in zip(heads.tolist(), tails.tolist(), strict=True):
-        value = least[a]
-        i = np.searchsorted(sorted_grams, value)
-        while order[i] < a:
-            i += 1
-        start = a
-        while start <= b:  # windows from start on, as long as this place is the leftmost in them
-            p = int(order[i])
-            stop = min(b, p)
-            place.append(p)
-            first.append(start)
-            last.append(stop)
-            start = stop + 1
-            i += 1
-    place = np.array(place, np.int64)
-    return (place, grams[place], np.array(first, np.int64), np.array(last, np.int64)), sums
+    # the place in the low bits makes the leftmost of equal q-grams the least, in any window alike
+    low = np.uint64((1 << int(n).bit_length()) - 1)
+    least = _sliding((grams & ~low) | at.astype(np.uint64), length - q + 1, np.minimum) & low  # by window start
+    heads = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    place = least[heads].astype(np.int64)
+    return (place, grams[place], heads, np.append(heads[1:], len(least)) - 1), sums
+
+
+def cores(sums: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, length: int):
+    """Fingerprints of what all windows of an anchor share, by blocks of BLOCK distances from window start to anchor: the values, and the number for each anchor."""
+    low, high = (place - last) // BLOCK, (place - first) // BLOCK
+    many = high - low + 1
+    ends = np.cumsum(many)
+    owner = np.repeat(np.arange(len(place)), many)
+    block = np.arange(int(ends[-1]) if len(ends) else 0) - (ends - many)[owner] + low[owner]
+    begin = place[owner] - block * BLOCK
+    end = begin - BLOCK + 1 + length
+    return B.mix64(B.span_hash(sums, begin, end) + block.astype(np.uint64)), many
 
 
 def _anchor_rows(length: int, q: int):
     def rows(batches):
         for batch in batches:
-            held = []
             for row, stop, data, offsets in B.utf8_chunks(batch, "text"):
+                held, shared, counts = [], [], []
                 docs = np.asarray(batch.column(0).slice(row, stop - row))
                 for k in range(stop - row):
                     (place, gram, first, last), sums = anchors(data[offsets[k] : offsets[k + 1]], length, q)
                     if len(place):
                         stretch = B.mix64(B.span_hash(sums, first, last + length) + (place - first).astype(np.uint64))
                         held.append((np.full(len(place), docs[k]), place, gram.view(np.int64), stretch.view(np.int64), first, last))
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["doc", "place", "gram", "stretch", "first", "last"])
+                        values, many = cores(sums, place, first, last, length)
+                        shared.append(values.view(np.int64))
+                        counts.append(many)
+                if held:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)), pa.array(np.concatenate(shared)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*held, strict=True)), lists], ["doc", "place", "gram", "stretch", "first", "last", "cores"])
 
     return rows
 
@@ -154,18 +156,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, q: int = 200, id_col: str
     if not 1 <= q <= length // 2:
         raise ValueError("q is at most half of the length")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("id", "text"))
-    marks = cut_lineage(texts.where(F.octet_length("text") >= length).select("doc", "text").mapInArrow(_anchor_rows(length, q), "doc long, place long, gram long, stretch long, first long, last long"))
-    kinds = marks.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "last")).alias("one"))
-    grams = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("different")).where("`all` > 1")
-    kinds = cut_lineage(kinds.join(grams, "gram").select("gram", "stretch", "n", "one", "different"))
-    done = marks.join(kinds.where("n > 1").select("gram", "stretch"), ["gram", "stretch"]).select("doc", "first", "last")
-    open_kinds = kinds.where("different > 1").select("one.doc", "one.first", "one.last")
-    by_doc = open_kinds.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("opens"))
+    marks = stored(texts.where(F.octet_length("text") >= length).select("doc", "text").mapInArrow(_anchor_rows(length, q), "doc long, place long, gram long, stretch long, first long, last long, cores array<long>"))
+    shared = stored(marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    live = stored(marks.join(shared, "gram", "left_semi"))
+    kinds = stored(live.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", "first", "last", "cores")).alias("one")))
+    done = live.join(kinds.where("n > 1").select("gram", "stretch"), ["gram", "stretch"]).select("doc", "first", "last").distinct()
+    several = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+    blocks = kinds.join(several, "gram").select("one.*").select("doc", "place", "first", "last", F.posexplode("cores").alias("pos", "core"))
+    block = F.expr(f"(place - last) div {BLOCK} + pos")
+    blocks = stored(blocks.select("doc", "core", F.greatest("first", F.col("place") - block * BLOCK - (BLOCK - 1)).alias("first"), F.least("last", F.col("place") - block * BLOCK).alias("last")))
+    again = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    by_doc = blocks.join(again, "core", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("opens"))
     once = texts.select("doc", "text").join(by_doc, "doc").dropDuplicates(["doc"]).select("doc", "opens", "text")
-    windows = cut_lineage(once.mapInArrow(_window_rows(length, q), "doc long, first long, bucket long, later long"))
+    windows = stored(once.mapInArrow(_window_rows(length, q), "doc long, first long, bucket long, later long"))
     repeated = windows.groupBy("bucket", "later").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = windows.join(repeated, ["bucket", "later"]).select("doc", "first", F.col("first").alias("last"))
-    spans = done.distinct().unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = stored(done.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     rows = texts.join(spans, "doc", "left").select("id", "spans", "text")
     kind = texts.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_cut(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
