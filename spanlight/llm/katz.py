@@ -3,13 +3,17 @@
 Order k holds for each n-gram of k tokens the discounted chance of its last
 token after the others, and for each context the weight that spreads the rest
 over the next lower order.  An n-gram of two or more tokens seen less than
-``min_count`` times is not stored; its mass goes to the backoff.  What is not
+``min_count`` times is not kept; its mass goes to the backoff.  What is not
 known at order 1 is one further class, which has the discounted mass.  For every
 context the chances of all words and of that class add up to 1.
 
-N-grams are named by 64-bit fingerprints.  Counts are aggregated per document
-batch before they are shuffled; a token is scored by its row's joins with the
-tables, from the highest order down.
+N-grams are named by 64-bit fingerprints.  Documents are packed into blocks of a
+bounded size.  A block sends each different n-gram once, with its count, to the
+part of the table that the fingerprint belongs to; the part adds up, keeps the
+table and sends each block the counts of its n-grams.  One of the blocks that
+have an n-gram is its owner and adds it to the sums of its context, which go the
+same way; so no n-gram or context has more than one entry for a block, however
+frequent it is.  A block then scores its tokens from the highest order down.
 """
 
 from __future__ import annotations
@@ -22,56 +26,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import checkpoint_folder, documents
+from ._spark import bucket_count, documents, stored
 from .language_id import held_out
 
 #: Counts up to this one are discounted by Good and Turing's formula.
 DISCOUNTED = 5
-#: Partitions of a stored table.
-TABLE_PARTS = 32
+#: Bytes of text in a block (a longer document is one block alone).
+BLOCK_BYTES = 8 << 20
 
 _END, _START = np.uint64(0x8A5CD789635D2DFF), np.uint64(0x121FD2155C472F96)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
+_SENT = "part long, block long, keys binary, n binary, mass binary, lower binary"
+_BACK = "kind string, part long, block long, keys binary, n binary, x binary, sums array<long>"
 
-def token_rows(order: int):
-    """Per document and different n-gram of the highest order: g1..gN (the last 1..N tokens), h2..hN (the tokens before the last), n."""
 
-    def rows(batches):
-        for batch in batches:
-            for row, stop, data, offsets in B.utf8_chunks(batch, "text"):
-                hashes, bounds = B.word_hashes(data, offsets)
-                docs = stop - row
-                ends = bounds[1:] + np.arange(docs)
-                line = np.empty(len(hashes) + docs, np.uint64)
-                is_end = np.zeros(len(line), bool)
-                is_end[ends] = True
-                line[is_end], line[~is_end] = _END, hashes
-                owner = np.repeat(np.arange(docs), np.diff(bounds) + 1)
-                place = np.arange(len(line)) - np.concatenate([[0], ends[:-1] + 1])[owner]
-                before = [line]  # the token k places before; start marks before the first
-                for k in range(1, order):
-                    t = np.full(len(line), _START, np.uint64)
-                    t[k:] = np.where(place[k:] >= k, line[:-k], _START)
-                    before.append(t)
-                grams, contexts = [B.mix64(line + _STEP)], []
-                for k in range(2, order + 1):
-                    context = np.zeros(len(line), np.uint64)
-                    for t in reversed(before[1:k]):
-                        context = B.mix64(context * _STEP + t)
-                    contexts.append(context)
-                    grams.append(B.mix64(context * _STEP + line + np.uint64(k)))
-                at = np.lexsort((grams[-1], owner))
-                first = np.ones(len(at), bool)
-                first[1:] = (grams[-1][at[1:]] != grams[-1][at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
-                n = np.diff([*np.flatnonzero(first).tolist(), len(at)])
-                at = at[first]
-                ids = batch.column(0).slice(row, docs).take(pa.array(owner[at]))
-                train = batch.column(1).slice(row, docs).take(pa.array(owner[at]))
-                columns = [pa.array(x[at].view(np.int64)) for x in (*grams, *contexts)]
-                yield pa.RecordBatch.from_arrays([ids, train, *columns, pa.array(n.astype(np.int64))], ["id", "train", *[f"g{k + 1}" for k in range(order)], *[f"h{k}" for k in range(2, order + 1)], "n"])
-
-    return rows
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the largest takes; the first byte says how many."""
+    most = int(values.max()) if len(values) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+
+
+def _blocks(batches):
+    """Documents packed: the different token fingerprints, ascending, each token's place in them, and where documents end."""
+    for batch in batches:
+        for row, stop, data, offsets in B.utf8_chunks(batch, "text", BLOCK_BYTES):
+            hashes, bounds = B.word_hashes(data, offsets)
+            docs = stop - row
+            ends = bounds[1:] + np.arange(docs)
+            line = np.empty(len(hashes) + docs, np.uint64)
+            is_end = np.zeros(len(line), bool)
+            is_end[ends] = True
+            line[is_end], line[~is_end] = _END, hashes
+            words, place = np.unique(line, return_inverse=True)
+            columns = [[uuid.uuid4().int >> 66], None, None, [words.tobytes()], [place.astype("<u4").tobytes()], [ends.astype("<i8").tobytes()]]
+            lists = [pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(k).slice(row, docs)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *lists, *(pa.array(c, pa.binary()) for c in columns[3:])], ["block", "ids", "train", "words", "tokens", "ends"])
+
+
+class _Block:
+    """Tokens of a block: n-gram and context fingerprints by order, from 1 on."""
+
+    def __init__(self, batch, i: int, order: int):
+        get = lambda name: batch.column(name)[i].as_py()
+        self.block, self.ids = get("block"), batch.column("ids")[i].values
+        self.ends = np.frombuffer(get("ends"), "<i8")
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1])
+        lengths = self.ends + 1 - self.starts
+        self.train_docs = np.array(get("train"), bool)
+        self.train = np.repeat(self.train_docs, lengths)
+        line = np.frombuffer(get("words"), "<u8")[np.frombuffer(get("tokens"), "<u4")]
+        place = np.arange(len(line)) - np.repeat(self.starts, lengths)
+        before = [line]  # the token k places before; start marks before the first
+        for k in range(1, order):
+            t = np.full(len(line), _START, np.uint64)
+            t[k:] = np.where(place[k:] >= k, line[:-k], _START)
+            before.append(t)
+        self.grams, self.contexts = [None, B.mix64(line + _STEP)], [None, None]
+        for k in range(2, order + 1):
+            context = np.zeros(len(line), np.uint64)
+            for t in reversed(before[1:k]):
+                context = B.mix64(context * _STEP + t)
+            self.contexts.append(context)
+            self.grams.append(B.mix64(context * _STEP + line + np.uint64(k)))
+
+    def send(self, parts: int, keys: np.ndarray, n: np.ndarray, *more: np.ndarray):
+        """Rows for the parts that the ascending ``keys`` belong to."""
+        part = keys // np.uint64((1 << 64) // parts + 1)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        begins, stops = [0, *cuts.tolist()], [*cuts.tolist(), len(keys)]
+        spans = list(zip(begins, stops, strict=True))
+        floats = [[m[a:b].astype("<f8").tobytes() for a, b in spans] for m in more] or [[None] * len(spans)] * 2
+        columns = [pa.array(part[begins].astype(np.int64)), pa.array([self.block] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in ([keys[a:b].tobytes() for a, b in spans], [_pack(n[a:b]) for a, b in spans], *floats))]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SENT.split(", ")])
+
+    def read(self, back, model: KatzModel, top: int):
+        """Take in what the parts sent, and work out chances up to order ``top``."""
+        found = {}
+        for r in back.sort_by("part").to_pylist():
+            found.setdefault(r["kind"], []).append(r)
+        self.n, self.owned, self.p, kept = [None], [None], [None], None
+        for k in range(1, top + 1):
+            keys, inverse = np.unique(self.grams[k], return_inverse=True)
+            n = np.concatenate([_unpack(r["n"]) for r in found[f"n{k}"]])
+            self.n.append(n[inverse])
+            self.owned.append((keys, np.concatenate([np.frombuffer(r["x"], np.uint8) for r in found[f"n{k}"]]).astype(bool), n, np.unique(self.grams[k], return_index=True)[1]))
+            if k == 1:
+                own = model.discounted(1, n) / max(model.total, 1)
+                kept, chance = own[inverse], np.where(n > 0, own, model.unknown)[inverse]
+            elif f"h{k}" in found:
+                inverse_h = np.unique(self.contexts[k], return_inverse=True)[1]
+                every = np.concatenate([_unpack(r["n"]) for r in found[f"h{k}"]])[inverse_h]
+                alpha = np.concatenate([np.frombuffer(r["x"], "<f8") for r in found[f"h{k}"]])[inverse_h]
+                use = self.n[k] >= model.min_count
+                kept = np.where(use, model.discounted(k, self.n[k]) / np.maximum(every, 1), 0)
+                chance = np.where(use, kept, alpha * chance)
+        self.kept, self.chance = kept, chance
+
+
+class KatzModel:
+    """Discount factors by order, and the parts of the tables: ``tables[k]`` has the kept n-grams of order k, ``backoff[k]`` the weights of its contexts."""
+
+    def __init__(self, order: int, min_count: int):
+        self.order, self.min_count, self.factors, self.tables, self.backoff = order, min_count, {}, {}, {}
+        self.total = self.words = 0
+        self.unknown = 1.0
+
+    def learn(self, k: int, sums: list[int]) -> None:
+        """``sums``: how many n-grams have count 1, 2, .. DISCOUNTED + 1; tokens; different n-grams."""
+        self.factors[k] = discounts(dict(enumerate(sums[: DISCOUNTED + 1], 1)))
+        if k == 1:
+            self.total, self.words = sums[-2:]
+            if self.total:
+                lost = sum(sums[r - 1] * r * (1 - self.factors[1][r - 1]) for r in range(1, DISCOUNTED + 1))
+                self.unknown = max(lost / self.total, 1e-12)
+
+    def plain(self) -> KatzModel:
+        """The numbers alone, for the executors."""
+        out = KatzModel(self.order, self.min_count)
+        out.factors, out.total, out.words, out.unknown = dict(self.factors), self.total, self.words, self.unknown
+        return out
+
+    def discounted(self, k: int, n: np.ndarray) -> np.ndarray:
+        return n * np.append(np.append(0.0, self.factors[k]), 1.0)[np.minimum(n, DISCOUNTED + 1)]
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
@@ -86,72 +168,107 @@ def discounts(counts_of_counts: dict[int, int]) -> list[float]:
     return [(r - 0.5) / r for r in range(1, DISCOUNTED + 1)]
 
 
-def _discounted(counts: DataFrame) -> F.Column:
-    got = {r["c"]: r["k"] for r in counts.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
-    found = discounts(got)
-    return F.when(F.col("c") <= DISCOUNTED, F.element_at(F.array(*map(F.lit, found)), F.least("c", F.lit(DISCOUNTED)).cast("int")) * F.col("c")).otherwise(F.col("c").cast("double"))
+def _send_counts(k: int, order: int, parts: int):
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = _Block(batch, i, order)
+                keys, inverse = np.unique(block.grams[k], return_inverse=True)
+                yield block.send(parts, keys, np.bincount(inverse[block.train], minlength=len(keys)))
 
+    return send
 
-class KatzModel:
-    """``tables[k]``: (g, c, p) of order k; ``backoff[k]``: (h, alpha) of the contexts of order k; ``total`` and ``words`` of the training tokens."""
 
-    def __init__(self, order, tables, backoff, total, words, unknown):
-        self.order, self.tables, self.backoff, self.total, self.words, self.unknown = order, tables, backoff, total, words, unknown
+def _answer(kind: str, table: pa.Table, keys: np.ndarray, sizes: list[int], n: np.ndarray, x: np.ndarray, own: dict) -> pa.Table:
+    """A row for each block that asked, in its order of keys, and one for the part's table itself, with block null."""
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    rows = [{"kind": kind, "part": p, "block": b, "n": _pack(n[lo:hi]), "x": x[lo:hi].tobytes()} for p, b, lo, hi in zip(table["part"].to_pylist(), table["block"].to_pylist(), cuts, cuts[1:], strict=False)]
+    fields = [("kind", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("x", pa.binary()), ("sums", pa.list_(pa.int64()))]
+    return pa.Table.from_pylist([*rows, {"kind": f"table {kind}", "part": table["part"][0].as_py()} | own], pa.schema(fields))
 
 
-def _store(df: DataFrame, path: str, key: str) -> DataFrame:
-    part = F.pmod(F.col(key), F.lit(TABLE_PARTS)).cast("int")
-    df.withColumn("part", part).repartition(TABLE_PARTS, "part").write.partitionBy("part").parquet(path)
-    return df.sparkSession.read.schema(df.withColumn("part", part).schema).parquet(path).drop("part")
+def _add_counts(k: int, min_count: int):
+    def add(table: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+        keys, first, inverse = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([_unpack(x) for x in table["n"].to_pylist()])).astype(np.int64)
+        owner = np.zeros(len(inverse), np.uint8)
+        owner[first] = 1
+        kept = n >= (1 if k == 1 else min_count)
+        sums = [*np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2].tolist(), int(n.sum()), int((n > 0).sum())]
+        return _answer(f"n{k}", table, keys, [len(x) for x in each], n[inverse], owner, {"keys": keys[kept].tobytes(), "n": _pack(n[kept]), "sums": sums})
 
+    return add
 
-def fit_katz(tokens: DataFrame, order: int = 2, min_count: int = 2) -> KatzModel:
-    """A model of the rows of ``token_rows`` with ``train``; its tables lie in the shared checkpoint folder.
 
-    Without any training token all mass is the unknown class's.
-    """
-    folder = f"{checkpoint_folder(tokens.sparkSession)}/katz-{uuid.uuid4().hex}"
-    train = tokens.where("train")
-    counts = train.groupBy(F.col("g1").alias("g")).agg(F.sum("n").alias("c"))
-    counts = _store(counts, f"{folder}/counts1", "g")
-    sums = counts.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("words")).first()
-    total, words = sums["total"] or 0, sums["words"]
-    table = counts.withColumn("p", _discounted(counts) / F.lit(float(max(total, 1))))
-    table = _store(table, f"{folder}/table1", "g")
-    known = table.agg(F.sum("p")).first()[0] or 0.0
-    tables, backoff = {1: table}, {}
-    for k in range(2, order + 1):
-        grams = train.groupBy(F.col(f"g{k}").alias("g"), F.col(f"h{k}").alias("h"), F.col(f"g{k - 1}").alias("lower")).agg(F.sum("n").alias("c"))
-        grams = _store(grams, f"{folder}/counts{k}", "g")
-        contexts = grams.groupBy("h").agg(F.sum("c").alias("all"))
-        kept = grams.withColumn("mass", _discounted(grams)).where(F.col("c") >= min_count).join(contexts, "h").withColumn("p", F.col("mass") / F.col("all"))
-        kept = _store(kept.select("g", "h", "lower", "c", "p"), f"{folder}/table{k}", "g")
-        below = kept.select("h", "p", "lower").join(tables[k - 1].select(F.col("g").alias("lower"), F.col("p").alias("p_lower")), "lower", "left")
-        sums_of = below.groupBy("h").agg(F.sum("p").alias("seen"), F.sum("p_lower").alias("seen_lower"))
+def _send_contexts(k: int, model: KatzModel, parts: int):
+    """For each context of a block, the sums over the n-grams that the block owns: count, discounted mass of the kept ones, and their chances at the order below."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left, 0, model.order)
+        block.read(right, model, k - 1)
+        lower = block.kept
+        block.read(right, model, k)
+        _, owned, n, at = block.owned[k]
+        use = n >= model.min_count
+        contexts, inverse = np.unique(block.contexts[k], return_inverse=True)
+        of = inverse[at[owned]]
+        add = lambda values: np.bincount(of, values[owned], len(contexts))
+        return pa.Table.from_batches([block.send(parts, contexts, add(n).astype(np.int64), add(np.where(use, model.discounted(k, n), 0)), add(np.where(use, lower[at], 0)))])
+
+    return send
+
+
+def _add_contexts(k: int):
+    def add(table: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+        keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
+        total = lambda parts: np.bincount(inverse, np.concatenate(parts), len(keys))
+        every = total([_unpack(x) for x in table["n"].to_pylist()]).astype(np.int64)
+        mass, lower = (total([np.frombuffer(x, "<f8") for x in table[c].to_pylist()]) for c in ("mass", "lower"))
         # a context whose kept n-grams took all would leave nothing to spread; the rounding of sums is cut off at 0
-        alpha = F.greatest(1 - F.col("seen"), F.lit(1e-12)) / F.greatest(1 - F.col("seen_lower"), F.lit(1e-12))
-        tables[k], backoff[k] = kept.select("g", "c", "p"), _store(sums_of.select("h", alpha.alias("alpha")), f"{folder}/backoff{k}", "h")
-    return KatzModel(order, tables, backoff, total, words, max(1 - known, 1e-12) if total else 1.0)
+        alpha = np.maximum(1 - mass / np.maximum(every, 1), 1e-12) / np.maximum(1 - lower, 1e-12)
+        seen = every > 0
+        return _answer(f"h{k}", table, keys, [len(x) for x in each], every[inverse], alpha[inverse], {"keys": keys[seen].tobytes(), "n": _pack(every[seen]), "x": alpha[seen].tobytes()})
+
+    return add
+
 
+def _score(model: KatzModel):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left, 0, model.order)
+        block.read(right, model, model.order)
+        add = lambda values: np.add.reduceat(values, block.starts)
+        n = block.n[1]
+        columns = [block.ids, pa.array(block.train_docs), *(pa.array(c) for c in (block.ends + 1 - block.starts, add((n > 0).astype(np.int64)), add(np.log10(n + 0.1)), add(np.log10(block.chance))))]
+        return pa.Table.from_arrays(columns, ["id", "train", "n_tokens", "n_known", "base", "score"])
 
-def score_katz(tokens: DataFrame, model: KatzModel) -> DataFrame:
-    """Per document id: n_tokens, n_known, base (sum of log10(c + 0.1)), score (log10 of the probability)."""
-    rows = tokens
-    for k in range(model.order, 0, -1):
-        table = model.tables[k]
-        rows = rows.join(table.select(F.col("g").alias(f"g{k}"), F.col("p").alias(f"p{k}"), *([F.col("c").alias("c1")] if k == 1 else [])), f"g{k}", "left")
+    return score
+
+
+def fit_katz(blocks: DataFrame, order: int = 2, min_count: int = 2) -> tuple[KatzModel, DataFrame | None]:
+    """A model of the packed documents with ``train``, and what its tables answer each block.
+
+    Without any training token all mass is the unknown class's.
+    """
+    model, parts, back = KatzModel(order, min_count), bucket_count(blocks), None
+    for k in range(1, order + 1):
+        sent = blocks.mapInArrow(_send_counts(k, order, parts), _SENT)
+        got = stored(sent.groupBy("part").applyInArrow(_add_counts(k, min_count), _BACK))
+        model.tables[k] = got.where("block IS NULL").select("part", "keys", "n")
+        rows = got.where("block IS NULL").select(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(DISCOUNTED + 3)]).first()
+        model.learn(k, [x or 0 for x in rows])
+        back = got.where("block IS NOT NULL") if back is None else back.unionByName(got.where("block IS NOT NULL"))
         if k > 1:
-            rows = rows.join(model.backoff[k].select(F.col("h").alias(f"h{k}"), F.col("alpha").alias(f"a{k}")), f"h{k}", "left")
-    chance = F.coalesce(F.col("p1"), F.lit(float(model.unknown)))
-    for k in range(2, model.order + 1):
-        chance = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"a{k}"), F.lit(1.0)) * chance)
-    return rows.groupBy("id").agg(
-        F.max("train").alias("train"),
-        F.sum("n").alias("n_tokens"),
-        F.sum(F.when(F.col("c1").isNotNull(), F.col("n")).otherwise(F.lit(0))).alias("n_known"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c1", F.lit(0)) + F.lit(0.1))).alias("base"),
-        F.sum(F.col("n") * F.log10(chance)).alias("score"),
-    )
+            sent = _cogroup(blocks, back, _send_contexts(k, model.plain(), parts), _SENT)
+            got = stored(sent.groupBy("part").applyInArrow(_add_contexts(k), _BACK))
+            model.backoff[k] = got.where("block IS NULL").select("part", "keys", "n", "x")
+            back = back.unionByName(got.where("block IS NOT NULL"))
+    return model, back
+
+
+def _cogroup(blocks: DataFrame, back: DataFrame, f, schema: str) -> DataFrame:
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(f, schema)
 
 
 def katz_scores(docs: DataFrame, held, order: int = 2, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,17 +279,16 @@ def katz_scores(docs: DataFrame, held, order: int = 2, min_count: int = 2, id_co
     """
     texts = docs.select(F.col(id_col).alias("id"), (~F.coalesce(held, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    names = ", ".join([*[f"g{k} long" for k in range(1, order + 1)], *[f"h{k} long" for k in range(2, order + 1)], "n long"])
-    tokens = texts.mapInArrow(token_rows(order), f"id {kind}, train boolean, {names}")
-    model = fit_katz(tokens, order, min_count)
-    scored = score_katz(tokens, model)
+    blocks = stored(texts.mapInArrow(_blocks, f"block long, ids array<{kind}>, train array<boolean>, words binary, tokens binary, ends binary"))
+    model, back = fit_katz(blocks, order, min_count)
+    scored = _cogroup(blocks, back, _score(model.plain()), f"id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
+    sums = scored.groupBy("id").agg(F.max("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     shift = np.log10(model.total + 0.1 * (model.words + 1))
-    return scored.select(
+    return sums.select(
         F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(shift))).alias("base_score"), "score"
     )
 
 
 def op3_katz_backoff(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = katz_scores(docs.select("doc_id", "text"), held_out("doc_id", 10, 0))
-    return out
+    return katz_scores(docs.select("doc_id", "text"), held_out("doc_id", 10, 0))
