@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.llm._spark import checkpoint_folder
-from spanlight.llm.byte_bpe import decode_bpe, encode_bpe, vocabulary
+from spanlight.llm.byte_bpe import encode_bpe, vocabulary
 from spanlight.llm.exact_dedup import exact_dedup
 from spanlight.llm.language_id import UNDETERMINED, fit_language_model, held_out, predict_language
 from spanlight.llm.mixing import RATE, SEED, TEMPERATURE, poisson_mix
@@ -16,6 +16,8 @@ from spanlight.llm.ngram_join import ngram_components
 
 #: Documents whose language has a smaller share of the probability go.
 LEAST_SCORE = 0.5
+#: States and pieces that a worker keeps while it encodes: fewer than the tokenizer alone, for other stages' operators share the memory.
+KEPT_STATES, KEPT_PIECES = 40_000, 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each copy, with digests of them and of what they decode to."""
     path, pattern = vocabulary()
-    decoded = decode_bpe(encode_bpe(docs, path, pattern, keep_learned=False), path)
+    decoded = encode_bpe(docs, path, pattern, keep_learned=False, decoded_col="decoded", max_kept=KEPT_STATES, max_pieces=KEPT_PIECES)
     return decoded.select(
         *["doc_id", "lang", "source", "token_ids"],
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),

@@ -14,6 +14,7 @@ for the moment.
 from __future__ import annotations
 
 import base64
+import ctypes
 import gc
 import hashlib
 
@@ -49,21 +50,21 @@ class _State:
 
 
 class _Pieces(dict):
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most):
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece):
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.most:
             self.clear()
         self[piece] = found = np.array(self.encode(piece.encode("utf-8")), "<u4").tobytes()
         return found
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_kept: int = MAX_KEPT, max_pieces: int = MAX_PIECES):
         import regex
 
-        self.ranks = ranks
+        self.ranks, self.max_kept = ranks, max_kept
         self.bytes_of = token_bytes(ranks)
         self.opens = {token[:k] for token in ranks for k in range(1, len(token))}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -72,7 +73,7 @@ class Transducer:
         self.split_of: list[list[int] | None] = [None] * len(self.bytes_of)
         self.single = [bytes([k]) for k in range(256)]
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(self.piece)
+        self.pieces = _Pieces(self.piece, max_pieces)
 
     def merged(self, data: bytes, down_to: int = 1) -> list[int]:
         """The merges applied one by one, lowest rank first, leftmost first, till so many tokens are left; the definition."""
@@ -113,7 +114,7 @@ class Transducer:
                 right, bound = outer[0], right + 1  # of equal ranks the one on the left comes first
             else:
                 fine = True
-        if len(self.pairs) >= 2 * MAX_KEPT:
+        if len(self.pairs) >= 2 * self.max_kept:
             self.pairs.clear()
         self.pairs[a, b] = fine
         return fine
@@ -151,9 +152,9 @@ class Transducer:
             if cut:
                 pending, last, came, live = pending[cut:], last[cut:], tuple(max(c - cut, 0) for c in came[cut:]), [k - cut for k in live]
             after = _State(previous, pending, last, came, live)
-            if len(self.states) < MAX_KEPT:
+            if len(self.states) < self.max_kept:
                 self.states[previous, pending] = after
-        if len(self.states) < MAX_KEPT:
+        if len(self.states) < self.max_kept:
             state.moves[byte] = (after, out)
         return after, out
 
@@ -225,12 +226,26 @@ class Utf8Stream:
 _compiled: dict = {}
 
 
-def _transducer(ranks: dict[bytes, int], pattern: str, key: str) -> Transducer:
+def _transducer(ranks: dict[bytes, int], pattern: str, key: str, *bounds: int) -> Transducer:
     """One for each vocabulary in a Python worker, with what it has learned."""
-    if key not in _compiled:
+    if (key, bounds) not in _compiled:
         _compiled.clear()
-        _compiled[key] = Transducer(ranks, pattern)
-    return _compiled[key]
+        _compiled[key, bounds] = Transducer(ranks, pattern, *bounds)
+    return _compiled[key, bounds]
+
+
+def _give_back() -> None:
+    """Return the memory of freed objects to the system, as far as the platform can."""
+    gc.collect()  # states refer to each other
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _decoded(bytes_of: list[bytes], ids: bytes) -> str:
+    stream = Utf8Stream()
+    return "".join([*map(stream.feed, decode_parts(bytes_of, ids)), stream.finish()])
 
 
 def _shared(docs: DataFrame, path: str, pattern: str):
@@ -244,7 +259,7 @@ def _kept(docs: DataFrame, *own: str) -> tuple[list[str], str]:
     return names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", keep_learned: bool = True) -> DataFrame:
+def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", keep_learned: bool = True, decoded_col: str | None = None, max_kept: int = MAX_KEPT, max_pieces: int = MAX_PIECES) -> DataFrame:
     """Columns of ``docs`` and ``ids_col``: the ids as little-endian unsigned 32-bit integers in a binary; a column of that name is replaced.
 
     ``path`` is read by the driver and the ranks (a vocabulary, of fixed size)
@@ -252,25 +267,31 @@ def encode_bpe(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     ids.  Whole texts are encoded, of any length.  A worker keeps the states it
     has learned for its next partitions; without ``keep_learned`` it lets go of
     them at the end of each, for jobs whose other operators use the same workers.
+    ``max_kept`` and ``max_pieces`` bound what it learns, not what it encodes.
+    With ``decoded_col`` the ids are also decoded, in the same pass, to a column
+    of that name.
     """
     ranks, key = _shared(docs, path, pattern)
-    names, schema = _kept(docs, ids_col)
+    names, schema = _kept(docs, ids_col, *([decoded_col] if decoded_col else []))
+    added = [ids_col, *([decoded_col] if decoded_col else [])]
 
     def encode(batches):
-        coder = _transducer(ranks.value, pattern, key)
+        coder = _transducer(ranks.value, pattern, key, max_kept, max_pieces)
         for batch in batches:
             texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_string()), "")
             for at in range(0, len(texts), 256):
                 part = batch.slice(at, 256)
                 ids = [coder.encode(t.as_py()) for t in texts.slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary())], [*names, ids_col])
+                texts_again = [pa.array([_decoded(coder.bytes_of, x) for x in ids], pa.string())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary()), *texts_again], [*names, *added])
         coder.pieces.clear()  # the worker may run other operators next
         if not keep_learned:
             del coder
             _compiled.clear()
-            gc.collect()  # states refer to each other
+            _give_back()
 
-    return docs.mapInArrow(encode, f"{schema}, `{ids_col}` binary" if names else f"`{ids_col}` binary")
+    columns = [*([schema] if names else []), f"`{ids_col}` binary", *([f"`{decoded_col}` string"] if decoded_col else [])]
+    return docs.mapInArrow(encode, ", ".join(columns))
 
 
 def decode_bpe(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -285,8 +306,7 @@ def decode_bpe(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_co
             for at in range(0, len(ids), 256):
                 part, texts = batch.slice(at, 256), []
                 for each in ids.slice(at, 256):
-                    stream = Utf8Stream()
-                    texts.append("".join([*map(stream.feed, decode_parts(bytes_of, each.as_py() or b"")), stream.finish()]))
+                    texts.append(_decoded(bytes_of, each.as_py() or b""))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(texts, pa.string())], [*names, text_col])
 
     return tokens.mapInArrow(decode, f"{schema}, `{text_col}` string" if names else f"`{text_col}` string")

@@ -46,6 +46,13 @@ def test_tokens(docs):
     assert all(r.decoded == (r.text or "") for r in rows) and len(rows) == len(ROWS)
 
 
+def test_tokens_with_little_kept_and_decoded_in_one_pass(docs):
+    path, pattern = vocabulary()
+    want = {(r.doc_id, r.text): bytes(r.token_ids) for r in encode_bpe(docs, path, pattern).collect()}
+    rows = encode_bpe(docs, path, pattern, keep_learned=False, decoded_col="copy", max_kept=3, max_pieces=1).collect()
+    assert len(rows) == len(ROWS) and all(r.copy == (r.text or "") and bytes(r.token_ids) == want[r.doc_id, r.text] for r in rows)
+
+
 def test_utf8_in_parts():
     data = "aé漢🙂z".encode()
     for cut in range(len(data) + 1):
