@@ -194,3 +194,60 @@ def local_minimum_splits(data: Column, min_height: float, min_ratio: float) -> C
         )
 
     return F.aggregate(data, state, step, lambda s: s["out"])
+
+
+def hitlet_properties(data: Column, length: Column, dt: Column) -> Column:
+    """Struct of amplitude, its time (the first maximum), and in ns the 10 % and 25 % area times and the widths of the middle 50 % and 80 %; all 0 without samples other than 0."""
+    top = F.array_max(data)
+    at = lambda q: index_of_fraction(data, length, q) * dt
+    some = F.exists(data, lambda x: x != 0)
+    zero = lambda c: F.when(some, c).otherwise(F.lit(0)).cast("double")
+    return F.struct(
+        zero(top).alias("amplitude"),
+        F.when(some, (F.array_position(data, top) - 1) * dt).otherwise(F.lit(0)).cast("long").alias("time_amplitude"),
+        zero(at(0.25)).alias("left_area"),
+        zero(at(0.1)).alias("low_left_area"),
+        zero(at(0.75) - at(0.25)).alias("range_50p_area"),
+        zero(at(0.9) - at(0.1)).alias("range_80p_area"),
+    )
+
+
+def filter_waveforms(records: DataFrame, taps: list[float], pulse: list[str], fragment: str = "record_i") -> DataFrame:
+    """``data`` convolved with an impulse response of odd length, its origin at the first maximum.
+
+    Fragments of a pulse that follow each other get what spills over from their
+    neighbours; beyond them are zeros.  All fragments have as many samples, at
+    least as many as there are taps.
+    """
+    if len(taps) % 2 == 0:
+        raise ValueError("the impulse response has an odd length")
+    origin, behind = taps.index(max(taps)), len(taps) - 1 - taps.index(max(taps))
+    order = Window.partitionBy(*pulse).orderBy(fragment)
+    beside = lambda f, step: F.when(f(fragment).over(order) == F.col(fragment) + step, f("data").over(order))
+    none = lambda n: F.array_repeat(F.lit(0.0), n)
+    wide = F.concat(
+        F.coalesce(F.slice(F.col("__before"), -behind, behind).cast("array<double>"), none(behind)) if behind else none(0),
+        F.col("data").cast("array<double>"),
+        F.coalesce(F.slice(F.col("__after"), 1, origin).cast("array<double>"), none(origin)),
+    )
+    out = F.transform("data", lambda _, i: sum((F.get(F.col("__wide"), i + origin + behind - k) * F.lit(float(t)) for k, t in enumerate(taps)), F.lit(0.0)))
+    rows = records.withColumns({"__before": beside(F.lag, -1), "__after": beside(F.lead, 1)}).withColumn("__wide", wide)
+    return rows.withColumn("data", out).drop("__before", "__after", "__wide")
+
+
+def merge_peaks(peaks: DataFrame, group: list[str]) -> DataFrame:
+    """One peak for the disjoint peaks of each group: time, dt (the greatest common divisor), length, endtime, data, area, n_hits, n.
+
+    Samples are cut to the common dt and spread evenly over the cuts.  Needs
+    time, dt, length, data, area and n_hits.  A group is a handful of peaks.
+    """
+    dts = F.collect_set("dt")
+    whole = peaks.groupBy(*group).agg(F.min("time").alias("time"), F.max_by(F.col("time") + F.col("length").cast("long") * F.col("dt"), "time").alias("endtime"), dts.alias("__dts"), F.sum("area").alias("area"), F.sum("n_hits").alias("n_hits"), F.count(F.lit(1)).alias("n"))
+    common = F.array_max(F.filter(F.sequence(F.lit(1), F.array_min("__dts").cast("int")), lambda d: F.forall("__dts", lambda x: x % d == 0)))
+    whole = whole.withColumn("dt", common).withColumn("length", F.floor((F.col("endtime") - F.col("time")) / F.col("dt")).cast("int")).drop("__dts")
+    pieces = peaks.join(whole.select(*group, F.col("time").alias("__t0"), F.col("dt").alias("__dt"), F.col("length").alias("__length")), group)
+    cuts = (F.col("dt") / F.col("__dt")).cast("int")
+    fine = F.flatten(F.transform(F.slice("data", F.lit(1), F.col("length")), lambda x: F.array_repeat(x.cast("double") / cuts, cuts)))
+    start = ((F.col("time") - F.col("__t0")) / F.col("__dt")).cast("int")
+    summed = sum_waveform(pieces.select(*group, "__length", start.alias("__at"), fine.alias("data")), group, "__length", "__at")
+    return whole.join(summed, group)

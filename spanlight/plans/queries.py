@@ -275,3 +275,45 @@ def run_selection(spark, d):
 @query("SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(tags, ',')) AS tag FROM runs) GROUP BY tag", T.HITS_SQL, RUNS_SQL)
 def tag_counts(spark, d):
     return count_tags(_runs(spark, d))
+
+
+@query("SELECT row_id, max(x) AS amplitude, arg_min(i, -x * 1000 + i) AS time_amplitude FROM (SELECT row_id, i, CAST(x AS BIGINT) AS x FROM absolute) GROUP BY row_id", T.SAMPLES_SQL, ABS)
+def hitlet_amplitude(spark, d):
+    found = W.hitlet_properties(F.col("data"), F.col("length"), F.col("dt"))
+    return _absolute(spark, d).select("row_id", found.alias("h")).select("row_id", F.col("h.amplitude").cast("long").alias("amplitude"), F.col("h.time_amplitude").alias("time_amplitude"))
+
+
+def _at_share(q: float) -> str:
+    return f"arg_min(i + ({q} * a - (c - x)) / x, i) FILTER (x > 0 AND c >= {q} * a)"
+
+
+@query(f"SELECT row_id, round({_at_share(0.25)}, 6) AS left_area, round({_at_share(0.1)}, 6) AS low_left_area, round({_at_share(0.75)} - {_at_share(0.25)}, 6) AS range_50p_area, round({_at_share(0.9)} - {_at_share(0.1)}, 6) AS range_80p_area FROM sums GROUP BY row_id", T.SAMPLES_SQL, ABS)
+def hitlet_widths(spark, d):
+    found = W.hitlet_properties(F.col("data"), F.col("length"), F.col("dt"))
+    names = ["left_area", "low_left_area", "range_50p_area", "range_80p_area"]
+    return _absolute(spark, d).select("row_id", found.alias("h")).select("row_id", *[F.round(f"h.{n}", 6).alias(n) for n in names])
+
+
+TAPS = [1, -2, 3, 9, 4, 0, -1]
+PULSES = "pulses AS (SELECT row_id, row_id // 3 AS pulse, (row_id % 3) * 64 + i AS pos, x FROM samples), taps AS (SELECT unnest([1, -2, 3, 9, 4, 0, -1]) AS t, generate_subscripts([1, -2, 3, 9, 4, 0, -1], 1) - 1 AS k)"
+
+
+@query("SELECT row_id, string_agg(CAST(s AS BIGINT), ',' ORDER BY pos) AS data FROM (SELECT p.row_id, p.pos, sum(taps.t * q.x) AS s FROM pulses p CROSS JOIN taps JOIN pulses q ON q.pulse = p.pulse AND q.pos = p.pos + 3 - taps.k GROUP BY ALL) GROUP BY row_id", T.SAMPLES_SQL, PULSES)
+def filter_waveforms(spark, d):
+    records = T.records(spark, d).withColumn("pulse", F.floor(F.col("row_id") / 3)).withColumn("record_i", F.col("row_id") % 3)
+    out = W.filter_waveforms(records, TAPS, ["pulse"])
+    return out.select("row_id", F.array_join(F.transform("data", lambda x: x.cast("long").cast("string")), ",").alias("data"))
+
+
+MERGED = """parts AS (SELECT row_id // 3 AS g, row_id * 512 AS t, i, CASE WHEN row_id % 2 = 0 THEN 4 ELSE 6 END AS dt, x FROM samples),
+whole AS (SELECT g, min(t) AS t0, max(t) AS t1, CASE WHEN min(dt) = max(dt) THEN min(dt) ELSE 2 END AS d FROM parts GROUP BY g),
+fine AS (SELECT g, (p.t - t0 + i * dt) // d + k AS pos, 12 * x / (dt // d) AS y FROM parts p JOIN whole USING (g), unnest(generate_series(0, dt // d - 1)) AS u(k))"""
+
+
+@query("SELECT f.g, min(w.t0) AS time, min(w.d) AS dt, count(*) AS n_fine, CAST(round(sum(y)) AS BIGINT) AS total, CAST(round(sum(y * pos)) AS BIGINT) AS moment FROM fine f JOIN whole w USING (g) GROUP BY f.g", T.SAMPLES_SQL, MERGED)
+def merge_peaks(spark, d):
+    rows = T.records(spark, d).select(F.floor(F.col("row_id") / 3).alias("g"), (F.col("row_id") * 512).alias("time"), "length", F.when(F.col("row_id") % 2 == 0, 4).otherwise(6).alias("dt"), "data", F.lit(1).alias("area"), F.lit(1).alias("n_hits"))
+    out = W.merge_peaks(rows, ["g"])
+    moment = F.aggregate(F.transform("data", lambda x, i: 12 * x * i), F.lit(0.0), lambda a, x: a + x)
+    fine = rows.join(out.select("g", F.col("dt").alias("common")), "g").groupBy("g").agg(F.sum(F.col("length") * F.col("dt") / F.col("common")).cast("long").alias("n_fine"))
+    return out.join(fine, "g").select("g", "time", "dt", "n_fine", F.round(W.total(F.col("data")) * 12).cast("long").alias("total"), F.round(moment).cast("long").alias("moment"))
