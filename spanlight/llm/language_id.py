@@ -8,9 +8,10 @@ frozen after training, so each context's code lengths are a fixed row, in
 1/1024 bit: the code length of a text is a sum of integers, exact and
 independent of the order of summation.
 
-Counts come from a bounded sample of labelled documents and are aggregated in
-Spark; the driver gets the grams of at most ``MAX_GRAMS`` and builds a table of
-at most ``TABLE_BYTES``, which is broadcast.
+Counts come from a bounded sample of labelled documents, stratified by language,
+and are aggregated in Spark; the driver gets all grams of the sample and builds
+a sparse table of every context and symbol seen, which is broadcast.  Its size
+is that of the sample's different grams, 12 bytes for each and each context.
 """
 
 from __future__ import annotations
@@ -25,34 +26,34 @@ from ._spark import documents
 
 #: Labelled documents that a model is fitted on, about; a documented bound on the sample.
 SAMPLE_DOCS = 20_000
-#: Different (language, context, symbol) grams that reach the driver at most, the most frequent ones.
-MAX_GRAMS = 400_000
-#: Bound on the broadcast table of code lengths.
-TABLE_BYTES = 32 << 20
 #: Code lengths are held in fractions of a bit.
 UNIT = 1024
+#: A gram takes so many bits of a key; the language's number is above them.
+_BITS = 40
 
 UNDETERMINED = "und"
 
 
-def _grams(depth: int, text: str, lang: str):
+def _grams(depth: int):
     def count(batches):
         for batch in batches:
-            names = np.array(batch.column(batch.schema.get_field_index(lang)).to_pylist(), dtype=object)
-            for row, stop, data, offsets in B.utf8_chunks(batch, text):
-                data = B.lower_ascii(data)
-                history = _history(data, offsets, depth)
-                gram = data.astype(np.int64)
-                for k, byte in enumerate(history):
-                    gram |= byte.astype(np.int64) << (8 * (k + 1))
-                langs, code = np.unique(names[row:stop].astype(str), return_inverse=True)
-                key = (np.repeat(code, np.diff(offsets)).astype(np.int64) << 40) | gram
+            codes = batch.column(batch.schema.get_field_index("code")).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, stop, data, offsets in B.utf8_chunks(batch, "text"):
+                key = np.repeat(codes[row:stop], np.diff(offsets)) << _BITS | _gram(B.lower_ascii(data), offsets, depth)
                 key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(langs[key >> 40].astype(str)), pa.array(key & ((1 << 40) - 1)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return count
 
 
+def _gram(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
+    """Of each byte, itself in the lowest byte, the one before it in the next, and so on."""
+    gram = data.astype(np.int64)
+    for k, byte in enumerate(_history(data, offsets, depth)):
+        gram |= byte.astype(np.int64) << (8 * (k + 1))
+    return gram
+
+
 def _history(data: np.ndarray, offsets: np.ndarray, depth: int) -> list[np.ndarray]:
     """Byte 1, 2, .. depth places before each byte; before the start of a document are line feeds."""
     out = []
@@ -66,101 +67,114 @@ def _history(data: np.ndarray, offsets: np.ndarray, depth: int) -> list[np.ndarr
 
 
 class ContextTrees:
-    """Frozen trees of all languages in one set of arrays: ``child[node, symbol]`` and ``cost[node, symbol, language]``."""
+    """Frozen trees of all languages.
+
+    ``levels[k]`` has, for contexts of k bytes, the grams seen and their code
+    lengths in bits, and the contexts seen and what an escape from them adds to
+    the code length in the next shorter one; each pair with the places where the
+    languages begin.  Both are ascending within a language.
+    """
 
-    def __init__(self, langs: list[str], symbols: np.ndarray, child: np.ndarray, cost: np.ndarray, depth: int):
-        self.langs, self.symbols, self.child, self.cost, self.depth = langs, symbols, child, cost, depth
+    def __init__(self, langs: list[str], size: int, levels: list[tuple], depth: int):
+        self.langs, self.size, self.levels, self.depth = langs, size, levels, depth
 
     @classmethod
-    def fit(cls, langs: np.ndarray, grams: np.ndarray, counts: np.ndarray, depth: int) -> ContextTrees:
-        """From the counts of grams: the symbol in the lowest byte, the byte before it in the next, and so on."""
-        names, lang = np.unique(langs, return_inverse=True)
-        per_byte = np.bincount(grams & 255, weights=counts, minlength=256)
-        used = np.flatnonzero(per_byte)
-        symbols = np.full(256, len(used), np.uint8 if len(used) < 256 else np.uint16)  # what was never seen is one symbol more
-        symbols[used] = np.arange(len(used))
-        size, many = len(used) + 1, len(names)
-        limit = max(1, TABLE_BYTES // (size * many * 4))
-        parts = [symbols[(grams >> (8 * k)) & 255].astype(np.int64) for k in range(depth + 1)]
-        child = [np.full(size, -1, np.int32)]
-        rows = [cls._row(np.full((many, size), 1 / size), parts[0], lang, counts)]
-        node = np.zeros(len(grams), np.int64)  # of each gram's deepest context so far
-        alive = np.ones(len(grams), bool)
-        for k in range(1, depth + 1):
-            key = node * size + parts[k]
-            seen, index, inverse = np.unique(key[alive], return_index=True, return_inverse=True)
-            weight = np.bincount(inverse, weights=counts[alive])
-            room = max(0, limit - len(child))
-            chosen = np.zeros(len(seen), bool)
-            chosen[np.argsort(-weight, kind="stable")[:room]] = True
-            chosen &= weight >= 8
-            number = np.full(len(seen), -1, np.int64)
-            number[chosen] = len(child) + np.arange(chosen.sum())
-            at = np.flatnonzero(alive)
-            order = np.argsort(inverse, kind="stable")
-            ends = np.cumsum(np.bincount(inverse, minlength=len(seen)))
-            for j in np.flatnonzero(chosen).tolist():
-                parent, symbol = divmod(int(seen[j]), size)
-                child[parent][symbol] = number[j]
-                child.append(np.full(size, -1, np.int32))
-                own = at[order[ends[j - 1] if j else 0 : ends[j]]]
-                rows.append(cls._row(rows[parent], parts[0][own], lang[own], counts[own]))
-            node[at] = number[inverse]
-            alive[at] = number[inverse] >= 0
-        probability = np.stack(rows)  # node, language, symbol
-        cost = np.rint(-np.log2(probability) * UNIT).astype(np.int32).transpose(0, 2, 1)
-        return cls([str(x) for x in names], symbols, np.stack(child), np.ascontiguousarray(cost), depth)
+    def fit(cls, langs: list[str], keys: np.ndarray, counts: np.ndarray, depth: int) -> ContextTrees:
+        """From the counts of keys: the language's number above the gram.  Languages without a gram are left out."""
+        present, number = np.unique(keys >> _BITS, return_inverse=True)
+        langs, keys = [langs[i] for i in present.tolist()], number.astype(np.int64) << _BITS | keys & ((1 << _BITS) - 1)
+        order = np.argsort(keys)
+        seen = [(keys[order], counts[order].astype(np.float64))]
+        for k in range(depth, 0, -1):  # without the byte farthest back
+            shorter, inverse = np.unique(seen[0][0] & ~(255 << (8 * k)), return_inverse=True)
+            seen.insert(0, (shorter, np.bincount(inverse, weights=seen[0][1])))
+        size = len(np.unique(seen[0][0] & 255)) + 1  # what was never seen is one symbol more
+        levels, chance = [], None
+        for k, (key, n) in enumerate(seen):
+            parent = np.full(len(key), 1 / size) if k == 0 else chance[np.searchsorted(seen[k - 1][0], key & ~(255 << (8 * k)))]
+            contexts, first = np.unique(key >> 8, return_index=True)
+            total, kinds = np.add.reduceat(n, first), np.diff(np.append(first, len(key)))
+            chance = n / np.repeat(total + kinds, kinds)
+            escape = kinds / (total + kinds) / (1 - np.add.reduceat(parent, first))
+            levels.append((*cls._by_language(key, -np.log2(chance), len(langs), _BITS), *cls._by_language(contexts, -np.log2(escape), len(langs), _BITS - 8)))
+        return cls(langs, size, levels, depth)
 
     @staticmethod
-    def _row(parent: np.ndarray, symbol: np.ndarray, lang: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Chances of each symbol in a context (language, symbol), given those in the next shorter one."""
-        many, size = parent.shape
-        seen = np.bincount(lang * size + symbol, weights=counts, minlength=many * size).reshape(many, size)
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        rest = np.where(seen > 0, 0, parent)
-        left = rest.sum(1, keepdims=True)
-        escape = np.where(left > 0, kinds, 0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            row = np.where(seen > 0, seen / (total + escape), escape / (total + escape) * rest / left)
-        return np.where(total > 0, row, parent)
+    def _by_language(keys: np.ndarray, bits: np.ndarray, many: int, shift: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        starts = np.searchsorted(keys, np.arange(many + 1, dtype=np.int64) << shift).tolist()
+        return starts, keys & ((1 << shift) - 1), bits.astype(np.float32)
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of each gram's symbol after its context, by language, in 1/UNIT bit."""
+        out = np.empty((len(self.langs), len(grams)), np.int32)
+        for lang in range(len(self.langs)):
+            bits, left = np.zeros(len(grams)), np.arange(len(grams))
+            for k in range(self.depth, -1, -1):
+                starts, keys, cost, begins, contexts, escape = self.levels[k]
+                short = grams[left] & ((1 << (8 * (k + 1))) - 1)
+                found, at = _find(contexts[begins[lang] : begins[lang + 1]], short >> 8)
+                known, within = left[found], short[found]  # the others go on to the next shorter context
+                seen, place = _find(keys[starts[lang] : starts[lang + 1]], within)
+                bits[known[seen]] += cost[starts[lang] + place[seen]]
+                bits[known[~seen]] += escape[begins[lang] + at[found][~seen]]
+                going = np.ones(len(left), bool)
+                going[np.flatnonzero(found)[seen]] = False
+                left = left[going]
+            bits[left] += np.log2(self.size)
+            out[lang] = np.rint(bits * UNIT)
+        return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each document in each language, in 1/UNIT bit."""
-        many = len(self.langs)
-        out = np.zeros((len(offsets) - 1, many), np.int64)
+        out = np.zeros((len(offsets) - 1, len(self.langs)), np.int64)
         if not len(data):
             return out
-        size = self.child.shape[1]
-        symbols = self.symbols[data]
-        child = self.child.reshape(-1)
-        node = np.zeros(len(data), np.int32)
-        going = np.ones(len(data), bool)
-        for byte in _history(data, offsets, self.depth):
-            found = child[node * size + self.symbols[byte]]
-            going &= found >= 0
-            node = np.where(going, found, node)
-        cost = self.cost.reshape(-1, many)[node.astype(np.int64) * size + symbols]
+        grams, place = np.unique(_gram(data, offsets, self.depth), return_inverse=True)
         full = np.flatnonzero(np.diff(offsets))
-        for k in range(many):
-            out[full, k] = np.add.reduceat(cost[:, k], offsets[:-1][full], dtype=np.int64)
+        for k, cost in enumerate(self.costs(grams)):
+            out[full, k] = np.add.reduceat(cost[place], offsets[:-1][full], dtype=np.int64)
         return out
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted value is among the ascending keys, and its place."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
+
+
+def _rows_each(sizes: list[int], most: int) -> float:
+    """The number of rows to take of each class, or all it has, so that ``most`` are taken in all."""
+    rest = most
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > rest:
+            return rest / (len(sizes) - k)
+        rest -= n
+    return float(max(sizes))
+
+
 def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", depth: int = 3, sample_docs: int = SAMPLE_DOCS) -> ContextTrees | None:
-    """Trees from a sample of about ``sample_docs`` of the rows with a text and a language, chosen by a hash of the id; None without any."""
+    """Trees from a sample of about ``sample_docs`` of the rows with a text and a language; None without any.
+
+    Of each language as many rows are taken, or all that it has; which ones, a
+    hash of the id says.
+    """
     if not 1 <= depth <= 4:
         raise ValueError("depth is 1 to 4")
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    total = rows.count()
-    if not total:
+    sizes = dict(sorted((r[0], r[1]) for r in rows.groupBy("lang").count().collect()))
+    if not sizes:
         return None
-    if total > sample_docs:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) < int(sample_docs / total * (1 << 30)))
-    counts = rows.select("text", "lang").mapInArrow(_grams(depth, "text", "lang"), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS).toPandas()
-    if not len(got):
+    langs, each = list(sizes), _rows_each(list(sizes.values()), sample_docs)
+    lookup = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in zip(langs, values, strict=True) for x in pair]), F.col("lang"))
+    if sum(sizes.values()) > sample_docs:
+        rows = rows.where(F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) < lookup([int(min(1.0, each / n) * (1 << 30)) for n in sizes.values()]))
+    counts = rows.select("text", lookup(range(len(langs))).cast("long").alias("code")).mapInArrow(_grams(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = counts.toArrow()
+    if not got.num_rows:
         return None
-    return ContextTrees.fit(got["lang"].to_numpy(str), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.float64), depth)
+    return ContextTrees.fit(langs, got["key"].to_numpy(), got["n"].to_numpy(), depth)
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
