@@ -290,5 +290,6 @@ def katz_scores(docs: DataFrame, held, order: int = 2, min_count: int = 2, id_co
 
 
 def op3_katz_backoff(spark, sf_dir: str) -> DataFrame:
+    """Every bigram seen is kept, also those seen once."""
     docs = documents(spark, sf_dir)
-    return katz_scores(docs.select("doc_id", "text"), held_out("doc_id", 10, 0))
+    return katz_scores(docs.select("doc_id", "text"), held_out("doc_id", 10, 0), min_count=1)
