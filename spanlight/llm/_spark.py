@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -15,10 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a session without it (a test) gets one of its own."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local session without it (a test) gets one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanlight-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanlight-"))
     return context.getCheckpointDir()
 
 
@@ -50,8 +55,18 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table of its own in the shared checkpoint folder; it takes a third of a checkpoint's space."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with shuffles_freed(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -70,3 +85,41 @@ def bucket_count(df: DataFrame, bytes_each: int = 8 << 20) -> int:
 
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
+def give_back(collect: bool = True) -> None:
+    """Return the memory of freed objects to the system, as far as the platform can; ``collect`` first looks for cycles."""
+    import pyarrow as pa
+
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def freed(batches_to_batches):
+    """The function for ``mapInArrow``, giving memory back at the end of a partition: the worker stays, idle or for other operators."""
+
+    def run(batches):
+        yield from batches_to_batches(batches)
+        give_back()
+
+    return run
+
+
+def trimmed(of_groups):
+    """The function for a grouped ``applyInArrow``, giving memory back after each group."""
+
+    def one(table):
+        out = of_groups(table)
+        give_back(False)
+        return out
+
+    def two(left, right):
+        out = of_groups(left, right)
+        give_back(False)
+        return out
+
+    return one if of_groups.__code__.co_argcount == 1 else two
