@@ -61,6 +61,19 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """As ``stored``, and dealt out by a hash of ``column``: what is grouped by it later is not shuffled again."""
+    spark, name = df.sparkSession, f"table_{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}"
+    with shuffles_freed(spark):
+        df.write.bucketBy(shuffle_partitions(spark), column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolves the files; the name isn't needed any more
+    spark.sql(f"DROP TABLE {name}")
+    out.stored_at = path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` returned and nothing reads any more."""
     for df in tables:

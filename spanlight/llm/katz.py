@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import bucket_count, documents, stored
+from ._spark import bucket_count, documents, freed, stored, stored_by, trimmed
 from .language_id import held_out
 
 #: Counts up to this one are discounted by Good and Turing's formula.
 DISCOUNTED = 5
 #: Bytes of text in a block (a longer document is one block alone).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Ranges of fingerprints that are counted one after the other, so that only one's n-grams are being shuffled.
+PASSES = 2
 
 _END, _START = np.uint64(0x8A5CD789635D2DFF), np.uint64(0x121FD2155C472F96)
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -44,29 +46,70 @@ _BACK = "kind string, part long, block long, keys binary, n binary, x binary, su
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers in as many bytes as the largest takes; the first byte says how many."""
     most = int(values.max()) if len(values) else 0
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    width = max(1, -(-most.bit_length() // 8))
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    width = blob[0]
+    out = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<i8").reshape(-1)
+
+
+def _pack_floats(values: np.ndarray) -> bytes:
+    """The different numbers, and places among them."""
+    different, place = np.unique(values, return_inverse=True)
+    return len(different).to_bytes(8, "little") + different.astype("<f8").tobytes() + _pack(place)
+
+
+def _unpack_floats(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(blob, "<f8", n, 8)[_unpack(blob[8 + 8 * n :])] if n else np.zeros(0)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending fingerprints by their steps."""
+    return keys[:1].tobytes() + _pack(np.diff(keys))
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    first = np.frombuffer(blob[:8], "<u8")
+    return np.cumsum(np.concatenate([first, _unpack(blob[8:]).view(np.uint64)]), dtype=np.uint64) if len(first) else first
 
 
 def _blocks(batches):
     """Documents packed: the different token fingerprints, ascending, each token's place in them, and where documents end."""
     for batch in batches:
-        for row, stop, data, offsets in B.utf8_chunks(batch, "text", BLOCK_BYTES):
+        held, size = [], 0
+        for row, stop, data, offsets in B.utf8_chunks(batch, "text"):
+            if held and size + len(data) > BLOCK_BYTES:
+                yield _packed(batch, held)
+                held, size = [], 0
+            size += len(data)
             hashes, bounds = B.word_hashes(data, offsets)
-            docs = stop - row
-            ends = bounds[1:] + np.arange(docs)
-            line = np.empty(len(hashes) + docs, np.uint64)
+            ends = bounds[1:] + np.arange(stop - row)
+            line = np.empty(len(hashes) + stop - row, np.uint64)
             is_end = np.zeros(len(line), bool)
             is_end[ends] = True
             line[is_end], line[~is_end] = _END, hashes
-            words, place = np.unique(line, return_inverse=True)
-            columns = [[uuid.uuid4().int >> 66], None, None, [words.tobytes()], [place.astype("<u4").tobytes()], [ends.astype("<i8").tobytes()]]
-            lists = [pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(k).slice(row, docs)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *lists, *(pa.array(c, pa.binary()) for c in columns[3:])], ["block", "ids", "train", "words", "tokens", "ends"])
+            held.append((row, stop, ends, *np.unique(line, return_inverse=True)))
+        if held:
+            yield _packed(batch, held)
+
+
+def _packed(batch, held) -> pa.RecordBatch:
+    words = np.unique(np.concatenate([h[3] for h in held]))
+    place = np.concatenate([np.searchsorted(words, h[3]).astype("<u4")[h[4]] for h in held])
+    before = np.cumsum([0, *(len(h[4]) for h in held)])
+    ends = np.concatenate([h[2] + n for h, n in zip(held, before, strict=False)])
+    row, docs = held[0][0], held[-1][1] - held[0][0]
+    lists = [pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), batch.column(k).slice(row, docs)) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 66], pa.int64()), *lists, *(pa.array([c], pa.binary()) for c in (_pack_keys(words), _pack(place), ends.astype("<i8").tobytes()))], ["block", "ids", "train", "words", "tokens", "ends"])
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return keys // np.uint64((1 << 64) // parts + 1)
 
 
 class _Block:
@@ -80,7 +123,7 @@ class _Block:
         lengths = self.ends + 1 - self.starts
         self.train_docs = np.array(get("train"), bool)
         self.train = np.repeat(self.train_docs, lengths)
-        line = np.frombuffer(get("words"), "<u8")[np.frombuffer(get("tokens"), "<u4")]
+        line = _unpack_keys(get("words"))[_unpack(get("tokens"))]
         place = np.arange(len(line)) - np.repeat(self.starts, lengths)
         before = [line]  # the token k places before; start marks before the first
         for k in range(1, order):
@@ -97,12 +140,13 @@ class _Block:
 
     def send(self, parts: int, keys: np.ndarray, n: np.ndarray, *more: np.ndarray):
         """Rows for the parts that the ascending ``keys`` belong to."""
-        part = keys // np.uint64((1 << 64) // parts + 1)
+        part = _part(keys, parts)
         cuts = np.flatnonzero(np.diff(part)) + 1
         begins, stops = [0, *cuts.tolist()], [*cuts.tolist(), len(keys)]
-        spans = list(zip(begins, stops, strict=True))
-        floats = [[m[a:b].astype("<f8").tobytes() for a, b in spans] for m in more] or [[None] * len(spans)] * 2
-        columns = [pa.array(part[begins].astype(np.int64)), pa.array([self.block] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in ([keys[a:b].tobytes() for a, b in spans], [_pack(n[a:b]) for a, b in spans], *floats))]
+        spans = list(zip(begins, stops, strict=True)) if len(keys) else []
+        begins = begins if len(keys) else []
+        floats = [[_pack_floats(m[a:b]) for a, b in spans] for m in more] or [[None] * len(spans)] * 2
+        columns = [pa.array(part[begins].astype(np.int64)), pa.array([self.block] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in ([_pack_keys(keys[a:b]) for a, b in spans], [_pack(n[a:b]) for a, b in spans], *floats))]
         return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SENT.split(", ")])
 
     def read(self, back, model: KatzModel, top: int):
@@ -115,7 +159,7 @@ class _Block:
             keys, inverse = np.unique(self.grams[k], return_inverse=True)
             n = np.concatenate([_unpack(r["n"]) for r in found[f"n{k}"]])
             self.n.append(n[inverse])
-            self.owned.append((keys, np.concatenate([np.frombuffer(r["x"], np.uint8) for r in found[f"n{k}"]]).astype(bool), n, np.unique(self.grams[k], return_index=True)[1]))
+            self.owned.append((keys, np.concatenate([np.unpackbits(np.frombuffer(r["x"], np.uint8), count=len(_unpack(r["n"]))) for r in found[f"n{k}"]]).astype(bool), n, np.unique(self.grams[k], return_index=True)[1]))
             if k == 1:
                 own = model.discounted(1, n) / max(model.total, 1)
                 kept, chance = own[inverse], np.where(n > 0, own, model.unknown)[inverse]
@@ -157,46 +201,63 @@ class KatzModel:
 
 
 def discounts(counts_of_counts: dict[int, int]) -> list[float]:
-    """Factors for counts 1 to DISCOUNTED; where the formula leaves (0, 1), which small samples do, half a count is taken off each."""
+    """Factors for counts 1 to DISCOUNTED by Good and Turing's formula in Katz's form.
+
+    Where the formula leaves (0, 1), which small samples do, the counts of
+    counts are smoothed first (Gale and Sampson): by the line that fits their
+    logarithms best over the logarithms of the counts, none counting as one
+    half, and falling by more than 1.1.  On that line the formula stays in (0, 1).
+    """
     n = [counts_of_counts.get(r, 0) for r in range(DISCOUNTED + 2)]
     if all(n[1:]):
-        tail = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1]
-        if tail < 1:
-            found = [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) for r in range(1, DISCOUNTED + 1)]
-            if all(0 < d < 1 for d in found):
-                return found
-    return [(r - 0.5) / r for r in range(1, DISCOUNTED + 1)]
+        found = _katz_factors(n)
+        if found and all(0 < d < 1 for d in found):
+            return found
+    r = np.arange(1, DISCOUNTED + 2)
+    slope = min(float(np.polyfit(np.log(r), np.log(np.maximum(n[1:], 0.5)), 1)[0]), -1.1)
+    return _katz_factors([0.0, *(r.astype(float) ** slope).tolist()])
 
 
-def _send_counts(k: int, order: int, parts: int):
+def _katz_factors(n: list) -> list[float] | None:
+    tail = (DISCOUNTED + 1) * n[DISCOUNTED + 1] / n[1]
+    return [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) for r in range(1, DISCOUNTED + 1)] if tail < 1 else None
+
+
+def _send_counts(k: int, order: int, parts: int, turn: int = 0, turns: int = 1):
+    """The n-grams of order ``k`` in the parts whose turn it is."""
+
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 block = _Block(batch, i, order)
-                keys, inverse = np.unique(block.grams[k], return_inverse=True)
-                yield block.send(parts, keys, np.bincount(inverse[block.train], minlength=len(keys)))
+                grams, train = block.grams[k], block.train
+                if turns > 1:
+                    now = _part(grams, parts) * np.uint64(turns) // np.uint64(parts) == np.uint64(turn)
+                    grams, train = grams[now], train[now]
+                keys, inverse = np.unique(grams, return_inverse=True)
+                yield block.send(parts, keys, np.bincount(inverse[train], minlength=len(keys)))
 
-    return send
+    return freed(send)
 
 
 def _answer(kind: str, table: pa.Table, keys: np.ndarray, sizes: list[int], n: np.ndarray, x: np.ndarray, own: dict) -> pa.Table:
     """A row for each block that asked, in its order of keys, and one for the part's table itself, with block null."""
     cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    rows = [{"kind": kind, "part": p, "block": b, "n": _pack(n[lo:hi]), "x": x[lo:hi].tobytes()} for p, b, lo, hi in zip(table["part"].to_pylist(), table["block"].to_pylist(), cuts, cuts[1:], strict=False)]
+    rows = [{"kind": kind, "part": p, "block": b, "n": _pack(n[lo:hi]), "x": np.packbits(x[lo:hi]).tobytes() if x.dtype == bool else x[lo:hi].tobytes()} for p, b, lo, hi in zip(table["part"].to_pylist(), table["block"].to_pylist(), cuts, cuts[1:], strict=False)]
     fields = [("kind", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("x", pa.binary()), ("sums", pa.list_(pa.int64()))]
     return pa.Table.from_pylist([*rows, {"kind": f"table {kind}", "part": table["part"][0].as_py()} | own], pa.schema(fields))
 
 
 def _add_counts(k: int, min_count: int):
     def add(table: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+        each = [_unpack_keys(x) for x in table["keys"].to_pylist()]
         keys, first, inverse = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
         n = np.bincount(inverse, np.concatenate([_unpack(x) for x in table["n"].to_pylist()])).astype(np.int64)
-        owner = np.zeros(len(inverse), np.uint8)
-        owner[first] = 1
+        owner = np.zeros(len(inverse), bool)
+        owner[first] = True
         kept = n >= (1 if k == 1 else min_count)
         sums = [*np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2].tolist(), int(n.sum()), int((n > 0).sum())]
-        return _answer(f"n{k}", table, keys, [len(x) for x in each], n[inverse], owner, {"keys": keys[kept].tobytes(), "n": _pack(n[kept]), "sums": sums})
+        return _answer(f"n{k}", table, keys, [len(x) for x in each], n[inverse], owner, {"keys": _pack_keys(keys[kept]), "n": _pack(n[kept]), "sums": sums})
 
     return add
 
@@ -221,15 +282,15 @@ def _send_contexts(k: int, model: KatzModel, parts: int):
 
 def _add_contexts(k: int):
     def add(table: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+        each = [_unpack_keys(x) for x in table["keys"].to_pylist()]
         keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
         total = lambda parts: np.bincount(inverse, np.concatenate(parts), len(keys))
         every = total([_unpack(x) for x in table["n"].to_pylist()]).astype(np.int64)
-        mass, lower = (total([np.frombuffer(x, "<f8") for x in table[c].to_pylist()]) for c in ("mass", "lower"))
+        mass, lower = (total([_unpack_floats(x) for x in table[c].to_pylist()]) for c in ("mass", "lower"))
         # a context whose kept n-grams took all would leave nothing to spread; the rounding of sums is cut off at 0
         alpha = np.maximum(1 - mass / np.maximum(every, 1), 1e-12) / np.maximum(1 - lower, 1e-12)
         seen = every > 0
-        return _answer(f"h{k}", table, keys, [len(x) for x in each], every[inverse], alpha[inverse], {"keys": keys[seen].tobytes(), "n": _pack(every[seen]), "x": alpha[seen].tobytes()})
+        return _answer(f"h{k}", table, keys, [len(x) for x in each], every[inverse], alpha[inverse], {"keys": _pack_keys(keys[seen]), "n": _pack(every[seen]), "x": alpha[seen].tobytes()})
 
     return add
 
@@ -253,38 +314,43 @@ def fit_katz(blocks: DataFrame, order: int = 2, min_count: int = 2) -> tuple[Kat
     """
     model, parts, back = KatzModel(order, min_count), bucket_count(blocks), None
     for k in range(1, order + 1):
-        sent = blocks.mapInArrow(_send_counts(k, order, parts), _SENT)
-        got = stored(sent.groupBy("part").applyInArrow(_add_counts(k, min_count), _BACK))
+        turns = PASSES if k > 1 else 1
+        got = None
+        for turn in range(turns):
+            sent = blocks.mapInArrow(_send_counts(k, order, parts, turn, turns), _SENT)
+            some = stored(sent.groupBy("part").applyInArrow(trimmed(_add_counts(k, min_count)), _BACK))
+            got = some if got is None else got.unionByName(some)
         model.tables[k] = got.where("block IS NULL").select("part", "keys", "n")
         rows = got.where("block IS NULL").select(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(DISCOUNTED + 3)]).first()
         model.learn(k, [x or 0 for x in rows])
         back = got.where("block IS NOT NULL") if back is None else back.unionByName(got.where("block IS NOT NULL"))
         if k > 1:
             sent = _cogroup(blocks, back, _send_contexts(k, model.plain(), parts), _SENT)
-            got = stored(sent.groupBy("part").applyInArrow(_add_contexts(k), _BACK))
+            got = stored(sent.groupBy("part").applyInArrow(trimmed(_add_contexts(k)), _BACK))
             model.backoff[k] = got.where("block IS NULL").select("part", "keys", "n", "x")
             back = back.unionByName(got.where("block IS NOT NULL"))
     return model, back
 
 
 def _cogroup(blocks: DataFrame, back: DataFrame, f, schema: str) -> DataFrame:
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(f, schema)
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(trimmed(f), schema)
 
 
 def katz_scores(docs: DataFrame, held, order: int = 2, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``held_out``, n_tokens, n_known, train_tokens, base_score, score; learned from the rows that are not ``held``.
 
-    Null and empty texts are the end token alone.  Rows with the same id count
-    as one document with all their tokens.  An empty table gives no rows.
+    Null and empty texts are the end token alone.  Each row is a document of its
+    own, also where ids are null or repeat.  A text of any length is one
+    document of one block.  Other columns are not read.  An empty table gives no
+    rows.
     """
     texts = docs.select(F.col(id_col).alias("id"), (~F.coalesce(held, F.lit(False))).alias("train"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    blocks = stored(texts.mapInArrow(_blocks, f"block long, ids array<{kind}>, train array<boolean>, words binary, tokens binary, ends binary"))
+    blocks = stored_by(texts.mapInArrow(freed(_blocks), f"block long, ids array<{kind}>, train array<boolean>, words binary, tokens binary, ends binary"), "block")
     model, back = fit_katz(blocks, order, min_count)
     scored = _cogroup(blocks, back, _score(model.plain()), f"id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
-    sums = scored.groupBy("id").agg(F.max("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     shift = np.log10(model.total + 0.1 * (model.words + 1))
-    return sums.select(
+    return scored.select(
         F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(model.total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(shift))).alias("base_score"), "score"
     )
 
