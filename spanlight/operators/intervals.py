@@ -42,47 +42,82 @@ def overlap_pairs(a: DataFrame, b: DataFrame, width: int, window: int = 0, keys:
     once = F.col("__bin") == F.greatest("__low_bin", "__low_bin_b")
     if how == "inner":
         return left.join(right, same & once).drop("__bin", "__bin_b", "__low_bin", "__low_bin_b", "__from", "__to")
-    touched = left.join(right, same, "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in a.columns]).distinct()
-    return touched if how == "left_semi" else a.join(touched, a.columns, "left_anti")
+    # whether a row touches depends on its keys and bounds alone, so repeated rows and nulls elsewhere don't matter
+    bounds = [*keys, "time", "endtime"]
+    touched = left.join(right, same, "left_semi").select(*[F.col(f"a_{c}").alias(f"__t_{c}") for c in bounds]).distinct()
+    return a.join(touched, _same(bounds, "__t_"), how)
 
 
-def gap_groups(df: DataFrame, gap: int, left: int = 0, right: int = 0, keys: Keys | None = None, max_duration: int | None = None) -> DataFrame:
-    """(keys, time, endtime, n) of groups of intervals: a new one where the next start is ``gap`` or more after all ends before.
+def _same(columns: Keys, prefix: str) -> Column:
+    """Null-safe equality of columns and their prefixed twins."""
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return same
+
+
+def running(df: DataFrame, keys: Keys, order: Keys, pick: Callable, value: Column, name: str, before: bool = False, cell: str = "__cell") -> DataFrame:
+    """``name``: ``pick`` (max or sum) of ``value`` over the rows of the same keys up to each, or before it.
+
+    Two levels, so that no task sees a whole key: within each ``cell`` (a
+    column that ascends with the order) by a window, and over the cells before
+    by a window over one row a cell.
+    """
+    inside = df.withColumn("__v", value).withColumn(name, pick("__v").over(Window.partitionBy(*keys, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)))
+    cells = inside.groupBy(*keys, cell).agg(pick("__v").alias("__all"))
+    carried = pick("__all").over(Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*[F.col(c).alias(f"__c_{c}") for c in [*keys, cell]], carried.alias("__carried"))
+    both = F.greatest(name, "__carried") if pick is F.max else F.coalesce(F.col(name) + F.col("__carried"), name, "__carried")
+    return inside.join(cells, _same([*keys, cell], "__c_")).withColumn(name, both).drop("__v", "__carried", *[f"__c_{c}" for c in [*keys, cell]])
+
+
+#: Nanoseconds of a cell of the two-level windows.
+CELL = 3_600_000_000_000
+
+
+def _celled(df: DataFrame, column: str = "time") -> DataFrame:
+    return df.withColumn("__cell", F.floor(F.col(column) / CELL))
+
+
+def group_starts(df: DataFrame, gap: int, left: int = 0, right: int = 0, keys: Keys | None = None, max_duration: int | None = None) -> DataFrame:
+    """``df`` with ``__group`` and ``__part``: two numbers that the rows of a gap group share, alone among those of the same keys.
 
-    Bounds are extended by ``left`` and ``right``.  With ``max_duration`` a group
-    is also closed before the row that would make it longer; only islands that
-    are too long go through a fold, one island at a time.
+    A group begins where the next start is ``gap`` or more after all ends before.
+    With ``max_duration`` it is also closed before the row with which it would be
+    longer, the extension on the left counting twice; only islands that are too
+    long go through a fold, one island at a time.  A row without bounds is in no
+    group.
     """
     keys = keys or ["run_id"]
-    by_time = _order(keys, "time", "endtime")
-    before = F.max("endtime").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", (before.isNull() | (F.col("time") - before >= gap)).cast("int"))
-    islands = marked.withColumn("__island", F.sum("__new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    plain = lambda rows: rows.groupBy(*keys, "__island").agg((F.min("time") - left).alias("time"), (F.max("endtime") + right).alias("endtime"), F.count(F.lit(1)).alias("n")).drop("__island")
+    rows = _celled(df.where("time IS NOT NULL AND endtime IS NOT NULL"))
+    rows = running(rows, keys, ["time", "endtime"], F.max, F.col("endtime"), "__before", before=True)
+    new = F.when(F.col("__before").isNull() | (F.col("time") - F.col("__before") >= gap), F.col("time"))
+    rows = running(rows, keys, ["time", "endtime"], F.max, new, "__group").drop("__before", "__cell").withColumn("__part", F.lit(0).cast("long"))
     if max_duration is None:
-        return plain(islands)
-    span = Window.partitionBy(*keys, "__island")
-    sized = islands.withColumn("__span", F.max("endtime").over(span) - F.min("time").over(span) + left + right)
+        return rows
+    spans = rows.groupBy(*keys, "__group").agg((F.max("endtime") - F.min("time") + 2 * left + right).alias("__span"))
+    long = spans.where(F.col("__span") > max_duration).select(*[F.col(c).alias(f"__s_{c}") for c in [*keys, "__group"]])
+    island = _same([*keys, "__group"], "__s_")
+    short = rows.join(long, island, "left_anti")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["time", "endtime"])
-        out, start, end, n = [], None, None, 0
+        parts, start, end, part = [], None, None, -1
         for t, e in zip(pdf["time"].tolist(), pdf["endtime"].tolist(), strict=True):
-            if start is not None and (t - end >= gap or t - start + (e - t) + left + right > max_duration):
-                out.append((start - left, end + right, n))
-                start = None
-            if start is None:
-                start, end, n = t, e, 0
-            end, n = max(end, e), n + 1
-        out.append((start - left, end + right, n))
-        done = pd.DataFrame(out, columns=["time", "endtime", "n"])
-        for key in reversed(keys):
-            done.insert(0, key, pdf[key].iloc[0])
-        return done
-
-    names = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", time long, endtime long, n long"
-    long = sized.where(F.col("__span") > max_duration).select(*keys, "__island", "time", "endtime").groupBy(*keys, "__island").applyInPandas(fold, names)
-    return plain(sized.where(F.col("__span") <= max_duration)).unionByName(long)
+            if start is None or t - end >= gap or e - (start - left) + left + right > max_duration:
+                start, end, part = t, e, part + 1
+            end = max(end, e)
+            parts.append(part)
+        return pdf.assign(__part=parts)
+
+    return short.unionByName(rows.join(long, island, "left_semi").groupBy(*keys, "__group").applyInPandas(fold, rows.schema))
+
+
+def gap_groups(df: DataFrame, gap: int, left: int = 0, right: int = 0, keys: Keys | None = None, max_duration: int | None = None) -> DataFrame:
+    """(keys, time, endtime, n) of groups of intervals as ``group_starts`` makes them; bounds are extended by ``left`` and ``right``."""
+    keys = keys or ["run_id"]
+    rows = group_starts(df.select(*dict.fromkeys([*keys, "time", "endtime"])), gap, left, right, keys, max_duration)
+    return rows.groupBy(*keys, "__group", "__part").agg((F.min("time") - left).alias("time"), (F.max("endtime") + right).alias("endtime"), F.count(F.lit(1)).alias("n")).drop("__group", "__part")
 
 
 def containment(things: DataFrame, containers: DataFrame, index: str, width: int, keys: Keys | None = None, row_id: str = "row_id") -> DataFrame:
@@ -115,8 +150,8 @@ def touching_windows(things: DataFrame, containers: DataFrame, index: str, windo
     began = things.select(*keys, none, F.col("time").alias("k"), F.lit(1).alias("src"))
 
     def rank(points: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-        thing = F.col(index).isNull().cast("long")
-        return points.unionByName(marks).withColumn(name, F.sum(thing).over(_order(keys, "k", "src").rowsBetween(Window.unboundedPreceding, 0))).where(F.col(index).isNotNull()).select(*keys, index, name)
+        both = _celled(points.unionByName(marks), "k")
+        return running(both, keys, ["k", "src"], F.sum, F.col(index).isNull().cast("long"), name).where(F.col(index).isNotNull()).select(*keys, index, name)
 
     left = rank(ended, start, "left")
     right = rank(began, end, "right")
@@ -128,15 +163,14 @@ def neighbour_distances(things: DataFrame, intervals: DataFrame, keys: Keys | No
     keys = keys or ["run_id"]
     null = F.lit(None).cast("long")
 
-    def look(points, marks, value, descending):
-        both = points.select(*keys, F.lit(None).cast(things.schema[row_id].dataType).alias(row_id), F.col(value).alias("k"), F.col(value).alias("v"), F.lit(0).alias("src")).unionByName(marks)
-        order = Window.partitionBy(*keys).orderBy(F.col("k").desc() if descending else F.col("k"), "src").rowsBetween(Window.unboundedPreceding, 0)
-        pick = F.min("v") if descending else F.max("v")
-        return both.withColumn("v", pick.over(order)).where(F.col(row_id).isNotNull()).select(*keys, row_id, "v")
+    def look(points: Column, marks: Column, name: str) -> DataFrame:
+        """For each thing the greatest of the intervals' ``points`` up to its ``marks``."""
+        every = intervals.select(*keys, F.lit(None).cast(things.schema[row_id].dataType).alias(row_id), points.alias("k"), points.alias("v"), F.lit(0).alias("src"))
+        both = _celled(every.unionByName(things.select(*keys, row_id, marks.alias("k"), null.alias("v"), F.lit(1).alias("src"))), "k")
+        return running(both, keys, ["k", "src"], F.max, F.col("v"), name).where(F.col(row_id).isNotNull()).select(*keys, row_id, name)
 
-    mark = lambda c: things.select(*keys, row_id, F.col(c).alias("k"), null.alias("v"), F.lit(1).alias("src"))
-    before = look(intervals, mark("time"), "endtime", False).withColumnRenamed("v", "__before")
-    after = look(intervals, mark("endtime"), "time", True).withColumnRenamed("v", "__after")
+    before = look(F.col("endtime"), F.col("time"), "__before")
+    after = look(-F.col("time"), -F.col("endtime"), "__after").withColumn("__after", -F.col("__after"))
     out = things.join(before, [*keys, row_id]).join(after, [*keys, row_id])
     return out.withColumn("to_prev", F.coalesce(F.col("time") - F.col("__before"), F.lit(-1))).withColumn("to_next", F.coalesce(F.col("__after") - F.col("endtime"), F.lit(-1))).drop("__before", "__after")
 
@@ -166,16 +200,27 @@ def joined_hits(hits: DataFrame, before: int, after: int, start: int | None = No
 
 def time_gaps(df: DataFrame, keys: Keys | None = None) -> DataFrame:
     """``gap``: start minus the greatest end before; null for the first row."""
-    order = _order(keys or ["run_id"], "time", "endtime").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("gap", F.col("time") - F.max("endtime").over(order))
+    rows = running(_celled(df), keys or ["run_id"], ["time", "endtime"], F.max, F.col("endtime"), "gap", before=True)
+    return rows.withColumn("gap", F.col("time") - F.col("gap")).drop("__cell")
 
 
 def first_break(df: DataFrame, safe: int, keys: Keys | None = None) -> DataFrame:
     """``right``: whether the row is at or behind the first start that is ``safe`` or more after all ends before; null in runs without one."""
     keys = keys or ["run_id"]
     marked = time_gaps(df, keys)
-    first = F.min(F.when(F.col("gap") >= safe, F.col("time"))).over(Window.partitionBy(*keys))
-    return marked.withColumn("right", F.col("time") >= first).drop("gap")
+    first = marked.where(F.col("gap") >= safe).groupBy(*keys).agg(F.min("time").alias("__first")).select("__first", *[F.col(k).alias(f"__f_{k}") for k in keys])
+    return marked.join(first, _same(keys, "__f_"), "left").withColumn("right", F.col("time") >= F.col("__first")).drop("gap", "__first", *[f"__f_{k}" for k in keys])
+
+
+def continuity_breaks(chunks: DataFrame, keys: Keys | None = None) -> DataFrame:
+    """Rows of ``chunks`` (time, endtime) that don't begin where the one before ends, with ``expected``: that end."""
+    order = _order(keys or ["run_id"], "time", "endtime")
+    return chunks.withColumn("expected", F.lag("endtime").over(order)).where("expected != time")
+
+
+def sort_by_time(df: DataFrame, ties: Keys | None = None) -> DataFrame:
+    """``df`` by time, channel (where there is one) and ``ties``: a global sort by ranges, stable if the ties are told apart."""
+    return df.orderBy("time", *(["channel"] if "channel" in df.columns else []), *(ties or []))
 
 
 def split_at(df: DataFrame, t: int, early: bool = False, keys: Keys | None = None) -> tuple[DataFrame, DataFrame]:
@@ -198,22 +243,36 @@ def split_at(df: DataFrame, t: int, early: bool = False, keys: Keys | None = Non
 
 
 def neighbours(df: DataFrame, window: int, keys: Keys | None = None, column: str = "endtime") -> DataFrame:
-    """``neighbours``: rows whose ``column`` differs by less than ``window``, itself included."""
-    frame = Window.partitionBy(*(keys or ["run_id"])).orderBy(column).rangeBetween(-(window - 1), window - 1)
-    return df.withColumn("neighbours", F.count(F.lit(1)).over(frame))
+    """``neighbours``: rows whose ``column`` differs by less than ``window``, itself included.
+
+    The number of rows up to the upper end minus that of rows below the lower
+    one; both are two-level running counts over the different values.
+    """
+    keys = keys or ["run_id"]
+    values = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    marks = lambda shift, src: values.select(*keys, (F.col("k") + shift).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(src).alias("src"), F.col("k").alias("of"))
+    points = values.select(*keys, "k", "n", F.lit(1).alias("src"), F.lit(None).cast("long").alias("of"))
+    ranked = running(_celled(points.unionByName(marks(1 - window, 0)).unionByName(marks(window - 1, 2)), "k"), keys, ["k", "src"], F.sum, F.col("n"), "rank")
+    counts = ranked.where("of IS NOT NULL").groupBy(*keys, "of").agg((F.max("rank") - F.min("rank")).alias("neighbours"))
+    counts = counts.select(*[F.col(k).alias(f"__n_{k}") for k in keys], F.col("of").alias(f"__n_{column}"), "neighbours")
+    return df.join(counts, _same([*keys, column], "__n_"), "left").drop(*[f"__n_{c}" for c in [*keys, column]])
 
 
 def positional_merge(frames: list[DataFrame], keys: Keys | None = None) -> DataFrame:
     """Frames of one kind side by side by (run, row): a name's place is that of its first frame, its value that of the last.
 
-    A row that a frame lacks is an error when the result is read.
+    Null keys equal each other.  A row that a frame lacks is an error when the
+    result is read.
     """
     keys = keys or ["run_id", "row_id"]
     out, names = None, []
     for k, frame in enumerate(frames):
         names += [c for c in frame.columns if c not in names]
-        own = frame.select(*keys, *[F.col(c).alias(f"__{k}_{c}") for c in frame.columns if c not in keys], F.lit(1).alias(f"__{k}"))
-        out = own if out is None else out.join(own, keys, "full")
+        own = frame.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[F.col(c).alias(f"__{k}_{c}") for c in frame.columns if c not in keys], F.lit(1).alias(f"__{k}"))
+        if out is None:
+            out = own.withColumnsRenamed({f"__k_{c}": c for c in keys})
+        else:
+            out = out.join(own, _same(keys, "__k_"), "full").withColumns({c: F.coalesce(c, f"__k_{c}") for c in keys}).drop(*[f"__k_{c}" for c in keys])
     whole = F.lit(True)
     for k in range(len(frames)):
         whole &= F.col(f"__{k}").isNotNull()
