@@ -16,7 +16,7 @@ from enum import IntEnum
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.intervals import all_of, positional_merge
+from ..operators.intervals import accumulate, all_of, overlap_pairs, positional_merge
 from ..operators.selection import absolute_range, apply_selection
 from ..sources.store import DatasetStore
 from .lineage import short_hash
@@ -43,6 +43,7 @@ class Option:
     track: bool = True
     kind: type | None = None
     parent: str | None = None
+    fetch: Callable | None = None  # makes the value that a node gets of the one that is set; the lineage has the latter
 
     def value(self, config: dict, run_id: str):
         if self.name in config:
@@ -75,6 +76,7 @@ class Node:
     kind: str = ""
     save: SaveWhen = SaveWhen.ALWAYS
     superruns: bool = False
+    about: tuple = ()  # what else the result depends on; part of the lineage
 
     def __post_init__(self):
         self.provides = (self.provides,) if isinstance(self.provides, str) else tuple(self.provides)
@@ -84,17 +86,61 @@ class Node:
 
 def merge_node(name: str, depends_on: Iterable[str]) -> Node:
     """The columns of tables of one kind side by side."""
-    return Node((name,), lambda spark, run_id, config, **inputs: positional_merge(list(inputs.values())), tuple(depends_on))
+    return Node((name,), lambda spark, run_id, config, **inputs: positional_merge(list(inputs.values())), tuple(depends_on), about=("merge",))
 
 
 def cut_node(name: str, depends_on: str, condition: str) -> Node:
-    """A column that tells which rows pass."""
-    return Node((name,), lambda spark, run_id, config, **inputs: inputs[depends_on].select("run_id", "row_id", "time", "endtime", F.expr(condition).alias(name)), (depends_on,))
+    """A column that tells which rows pass; ``condition`` is Spark SQL."""
+    return Node((name,), lambda spark, run_id, config, **inputs: inputs[depends_on].select("run_id", "row_id", "time", "endtime", F.expr(condition).alias(name)), (depends_on,), about=("cut", condition))
 
 
 def cut_list_node(name: str, cuts: list[str]) -> Node:
     """All cuts and whether a row passes all."""
-    return Node((name,), lambda spark, run_id, config, **inputs: all_of(positional_merge(list(inputs.values())), cuts, name), tuple(cuts))
+    return Node((name,), lambda spark, run_id, config, **inputs: all_of(positional_merge(list(inputs.values())), cuts, name), tuple(cuts), about=("cuts", name))
+
+
+def overlap_node(name: str, depends_on: str, window: int | tuple[int, int], compute: Callable[..., DataFrame], fields: Iterable[str] = (), width: int | None = None) -> Node:
+    """``compute(rows)`` of the rows with ``near``: an array of (time, endtime, fields) of all rows of the run that touch [time - left, endtime + right), by time.
+
+    ``window`` is one number for both sides or (left, right), in ns and not
+    negative.  The array is gathered by time bins as long as the window, so it
+    reaches over any border between partitions.
+    """
+    left, right = window if isinstance(window, tuple) else (window, window)
+    if left < 0 or right < 0:
+        raise ValueError("a window is not negative")
+    fields = list(fields)
+
+    def run(spark, run_id, config, **inputs):
+        rows = inputs[depends_on]
+        base = rows.select("run_id", "row_id", (F.col("time") - left).alias("time"), (F.col("endtime") + right).alias("endtime"))
+        pairs = overlap_pairs(rows.select(*dict.fromkeys(["run_id", "time", "endtime", *fields])), base, width or max(left + right, 1_000_000_000))
+        near = pairs.groupBy(F.col("b_run_id").alias("run_id"), F.col("b_row_id").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"a_{c}").alias(c) for c in dict.fromkeys(["time", "endtime", *fields])]))).alias("near"))
+        return compute(rows.join(near, ["run_id", "row_id"], "left"))
+
+    return Node((name,), run, (depends_on,), about=("overlap", left, right, fields, f"{compute.__module__}.{compute.__qualname__}"))
+
+
+def generator_node(name: str, depends_on: str, schema: str, generate: Callable, whole_run: bool = False) -> Node:
+    """Many tables out of one: ``generate`` takes an iterator of pandas frames and yields others.
+
+    It gets the rows partition by partition, or with ``whole_run`` all rows of a
+    run in one call, by time; then a run has to fit one task's memory.
+    """
+
+    def run(spark, run_id, config, **inputs):
+        rows = inputs[depends_on]
+        if not whole_run:
+            return rows.mapInPandas(generate, schema)
+
+        def all_rows(pdf):
+            import pandas as pd
+
+            return pd.concat(list(generate(iter([pdf.sort_values("time", kind="stable")]))), ignore_index=True)
+
+        return rows.groupBy("run_id").applyInPandas(all_rows, schema)
+
+    return Node((name,), run, (depends_on,), about=("generator", schema, whole_run, f"{generate.__module__}.{generate.__qualname__}"))
 
 
 @dataclass
@@ -120,6 +166,20 @@ class Context:
                     self.nodes.pop(p, None)
             self.nodes |= dict.fromkeys(node.provides, node)
 
+    def register_all(self, module) -> None:
+        """Every node that is an attribute of ``module``."""
+        self.register(*[x for x in vars(module).values() if isinstance(x, Node)])
+
+    def register_cut_list(self, name: str, cuts: Iterable[Node]) -> None:
+        """The cuts, and a node that combines them."""
+        cuts = list(cuts)
+        self.register(*cuts, cut_list_node(name, [c.provides[0] for c in cuts]))
+
+    @classmethod
+    def add_method(cls, f: Callable) -> None:
+        """A function of a context becomes a method of all contexts."""
+        setattr(cls, f.__name__, f)
+
     def drop_unreachable(self) -> None:
         """Deregister nodes that depend on what nothing provides, until none is left."""
         while gone := [p for p, n in self.nodes.items() if any(d not in self.nodes for d in n.depends_on)]:
@@ -196,7 +256,8 @@ class Context:
         for t in [*self.dependencies(target), target]:
             node = self.node(t)
             tracked = {o.parent or o.name for o in node.options if o.track}
-            out[node.provides[-1]] = [node.compute.__name__, node.version, {k: v for k, v in self.options(node, run_id).items() if k in tracked}]
+            code = f"{node.compute.__module__}.{node.compute.__qualname__}"
+            out[node.provides[-1]] = [code, node.version, {k: v for k, v in self.options(node, run_id).items() if k in tracked}, list(node.depends_on), list(node.about)]
         return out
 
     def key(self, run_id: str, target: str) -> tuple[str, str, str]:
@@ -219,7 +280,7 @@ class Context:
         return None
 
     def _strip(self, lineage: dict) -> dict:
-        return {k: [v[0], v[1], {o: x for o, x in v[2].items() if o not in self.ignored}] for k, v in lineage.items() if k not in self.ignored}
+        return {k: [*v[:2], {o: x for o, x in v[2].items() if o not in self.ignored}, *v[3:]] for k, v in lineage.items() if k not in self.ignored}
 
     # verbs
     def get(self, run_id: str, targets: str | list[str], save: Iterable[str] = (), selection=None, keep_columns=None, drop_columns=None, time_range=None, seconds_range=None, time_within=None, time_selection: str = "fully_contained", transform: Callable | None = None) -> DataFrame:
@@ -250,6 +311,30 @@ class Context:
             raise ValueError("no run has the targets")
         return out
 
+    def get_df(self, run_id: str, targets, **how):
+        """A pandas frame."""
+        return self.get(run_id, targets, **how).toPandas()
+
+    def get_array(self, run_id: str, targets, **how):
+        """An Arrow table."""
+        return self.get(run_id, targets, **how).toArrow()
+
+    def get_iter(self, run_id: str, targets, chunk: int, **how):
+        """((start, end), lazy rows that begin there) for each range of ``chunk`` ns from the first row to the last; empty ranges too."""
+        df = self.get(run_id, targets, **how)
+        low, high = df.agg(F.min("time"), F.max("time")).first()
+        while low is not None and low <= high:
+            yield (low, low + chunk), df.where((F.col("time") >= low) & (F.col("time") < low + chunk))
+            low += chunk
+
+    def accumulate(self, run_id: str, targets, fields: list[str], others: list[str] | None = None, **how) -> DataFrame:
+        """Sums over a target's rows; see the operator of that name."""
+        return accumulate(self.get(run_id, targets, **how), fields, others)
+
+    def data_info(self, run_id: str, target: str) -> list[tuple[str, str, str]]:
+        """(column, type, comment) of a target."""
+        return [(f.name, f.dataType.simpleString(), (f.metadata or {}).get("comment", "")) for f in self.get(run_id, target).schema.fields]
+
     def make(self, run_id: str, target: str) -> None:
         """Store a target whose node is saved at all."""
         if not self.is_stored(run_id, target):
@@ -272,7 +357,9 @@ class Context:
             made[target] = parts
         else:
             inputs = {d: self._make(run_id, d, made, targets, save) for d in node.depends_on}
-            got = node.compute(self.spark, run_id, self.options(node, run_id), **inputs)
+            fetch = {o.parent or o.name: o.fetch for o in node.options if o.fetch is not None}
+            config = {k: fetch[k](v) if k in fetch else v for k, v in self.options(node, run_id).items()}
+            got = node.compute(self.spark, run_id, config, **inputs)
             made |= got if isinstance(got, dict) else {node.provides[0]: got}
         for p in node.provides:
             when = node.save
@@ -292,8 +379,45 @@ class Context:
                 return row["start"]
         return 0
 
+    def list_available(self, target: str) -> DataFrame:
+        """Names of the runs whose target is stored under today's lineage.
+
+        Keys are worked out on the driver, a row of the run table each; what is
+        stored is listed once for each store.
+        """
+        keys = [(r[0], self.key(r[0], target)[2]) for r in self.runs.select("name").collect()]
+        wanted = self.spark.createDataFrame(keys, "name string, hash string")
+        found = None
+        for store in self.stores:
+            own = store.manifests(self.spark, "*", target).select(F.col("run_id").alias("name"), "hash")
+            found = own if found is None else found.union(own)
+        return wanted.join(found, ["name", "hash"], "left_semi").select("name") if found is not None else wanted.limit(0).select("name")
+
+    def available_for_run(self, run_id: str) -> dict[str, bool]:
+        return {t: self.is_stored(run_id, t) for t in self.nodes}
+
+    def keys_for_runs(self, target: str, run_ids: Iterable[str]) -> list[tuple[str, str, str]]:
+        return [self.key(r, target) for r in run_ids]
+
+    def size_mb(self, run_id: str, target: str) -> float:
+        found = self._found(run_id, target)
+        return found[0].size_mb(self.spark, found[1]) if found else 0.0
+
+    def compare_metadata(self, run_id: str, target: str, other: Context) -> dict[str, tuple]:
+        """What differs in the lineage: (here, there) by data type."""
+        a, b = self.lineage(run_id, target), other.lineage(run_id, target)
+        return {t: (a.get(t), b.get(t)) for t in sorted(a.keys() | b.keys()) if a.get(t) != b.get(t)}
+
+    def scan_runs(self, *tables: DataFrame) -> DataFrame:
+        """The run tables one under the other as the context's; a name counts where it comes first."""
+        out = None
+        for table in tables:
+            out = table if out is None else out.unionByName(table.join(out.select("name"), "name", "left_anti"), allowMissingColumns=True)
+        self.runs = out
+        return out
+
     def select_runs(self, modes=None, names=None, include_tags=None, exclude_tags=None, pattern: str = "fnmatch", available: Iterable[str] = ()) -> DataFrame:
-        return select_runs(self.runs, modes, names, include_tags, exclude_tags, pattern, [(t, [r[0] for r in self.runs.select("name").collect() if self.is_stored(r[0], t)]) for t in available])
+        return select_runs(self.runs, modes, names, include_tags, exclude_tags, pattern, [self.list_available(t) for t in available])
 
     def define_run(self, name: str, parts: list) -> None:
         """A superrun of whole runs (ids) or of (id, start, end)."""
@@ -307,7 +431,15 @@ class Context:
         self.define_run(name, [tuple(r) for r in rows])
 
 
-def select_runs(runs: DataFrame, modes=None, names=None, include_tags=None, exclude_tags=None, pattern: str = "fnmatch", stored: Iterable[tuple[str, list[str]]] = ()) -> DataFrame:
+def from_columns(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small table of equally long columns, such as a calibration; rows in their order."""
+    if len({len(c) for c in columns.values()}) > 1:
+        raise ValueError("columns of different lengths")
+    names = [f.split()[0] for f in schema.split(",")]
+    return spark.createDataFrame(list(zip(*(columns[n] for n in names), strict=True)), schema)
+
+
+def select_runs(runs: DataFrame, modes=None, names=None, include_tags=None, exclude_tags=None, pattern: str = "fnmatch", stored: Iterable[DataFrame] = ()) -> DataFrame:
     """Rows of (name, mode, tags: comma-separated) that match; exclusion beats inclusion, and a tag's leading _ counts for nothing."""
     rule = lambda p: f"^(?:{p})$" if pattern == "re" else fnmatch.translate(p).replace(r"\Z", "$").replace(r"\z", "$").replace("(?s:", "(?s:")
     many = lambda x: [x] if isinstance(x, str) else list(x)
@@ -330,8 +462,8 @@ def select_runs(runs: DataFrame, modes=None, names=None, include_tags=None, excl
         runs = runs.where(tagged(many(include_tags)))
     if exclude_tags is not None:
         runs = runs.where(~tagged(many(exclude_tags)))
-    for _, ids in stored:
-        runs = runs.where(F.col("name").isin(ids))
+    for names_there in stored:
+        runs = runs.join(names_there, "name", "left_semi")
     return runs
 
 

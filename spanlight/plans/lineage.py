@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 
 
 def plain(x):
@@ -26,3 +27,19 @@ def short_hash(x) -> str:
     """Ten characters that depend on the value alone."""
     digest = hashlib.sha1(json.dumps(plain(x), sort_keys=True).encode()).digest()
     return base64.b32encode(digest)[:10].decode().lower()
+
+
+def flatten_dict(nested: dict, separator: str = ":") -> dict:
+    """One level, with the keys on the way joined."""
+    out = {}
+    for key, value in nested.items():
+        if isinstance(value, dict):
+            out |= {f"{key}{separator}{k}": v for k, v in flatten_dict(value, separator).items()}
+        else:
+            out[key] = value
+    return out
+
+
+def camel_to_snake(name: str) -> str:
+    """HitPeaks and hitPeaks to hit_peaks; runs of capitals are one word."""
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
