@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def total(data: Column) -> Column:
@@ -47,38 +50,62 @@ def downsample(data: Column, length: Column, limit: int) -> Column:
     return F.struct(F.when(blocks > 0, sums).otherwise(F.array().cast("array<double>")).alias("data"), blocks.alias("length"), factor.alias("factor"))
 
 
-def cumulative(data: Column) -> Column:
-    """Sums up to and with each sample."""
-    step = lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0.0)) + x))
-    return F.aggregate(data, F.array().cast("array<double>"), step)
-
-
 def index_of_fraction(data: Column, length: Column, fraction: float) -> Column:
     """Place in samples, with interpolation, at which this share of the area is reached; 0 without area, ``length`` for 1."""
     if fraction == 1:
         return F.when(total(data) > 0, length.cast("double")).otherwise(F.lit(0.0))
-    goal = total(data) * fraction
     state = F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("at"), F.lit(0).alias("i"))
 
-    def step(s: Column, x: Column) -> Column:
-        here = (s["at"] < 0) & (s["sum"] + x >= goal)
-        at = F.when(here, s["i"] + F.when(x != 0, (goal - s["sum"]) / x).otherwise(F.lit(0.0))).otherwise(s["at"])
-        return F.struct((s["sum"] + x).alias("sum"), at.alias("at"), (s["i"] + 1).alias("i"))
+    def find(area: Column) -> Column:
+        goal = area * fraction
+
+        def step(s: Column, x: Column) -> Column:
+            here = (s["at"] < 0) & (s["sum"] + x >= goal)
+            at = F.when(here, s["i"] + F.when(x != 0, (goal - s["sum"]) / x).otherwise(F.lit(0.0))).otherwise(s["at"])
+            return F.struct((s["sum"] + x).alias("sum"), at.alias("at"), (s["i"] + 1).alias("i"))
+
+        return F.when(area > 0, F.greatest(F.aggregate(data, state, step, lambda s: s["at"]), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    return F.element_at(F.transform(F.array(total(data)), find), 1)  # the array binds the area to a name, so that it is summed once
+
 
-    found = F.aggregate(data, state, step, lambda s: s["at"])
-    return F.when(total(data) > 0, F.greatest(found, F.lit(0.0))).otherwise(F.lit(0.0))
+def places_of_fractions(data: Column, length: Column, fractions: list[float]) -> Column:
+    """``index_of_fraction`` of many fractions, in one pass over the samples."""
+    shares = np.array(fractions, float)
+
+    @F.pandas_udf("array<double>")
+    def places(rows: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for row, n in zip(rows, lengths, strict=True):
+            x = np.asarray(row if row is not None else [], float)
+            sums = np.cumsum(x)
+            if not len(x) or not sums[-1] > 0:
+                out.append(np.zeros(len(shares)))
+                continue
+            goal = sums[-1] * shares
+            at = np.minimum(np.searchsorted(np.maximum.accumulate(sums), goal, side="left"), len(x) - 1)
+            before = np.where(at > 0, sums[at - 1], 0.0)
+            step = np.where(x[at] != 0, x[at], 1.0)
+            out.append(np.where(shares == 1, float(n), np.maximum(at + np.where(x[at] != 0, (goal - before) / step, 0.0), 0.0)))
+        return pd.Series(out)
+
+    return places(data, length)
 
 
 def widths(data: Column, length: Column, dt: Column, n: int = 11) -> Column:
     """Struct of median_time, width[] and area_decile_from_midpoint[] in ns: widths hold the shares i / (n - 1) around the middle."""
     shares = [i / (n - 1) for i in range(n)]
-    at = lambda q: index_of_fraction(data, length, q) * dt
-    median = at(0.5)
-    return F.struct(
-        median.alias("median_time"),
-        F.array(*[at(0.5 + s / 2) - at(0.5 - s / 2) if s else F.lit(0.0) for s in shares]).alias("width"),
-        F.array(*[at(s) - median for s in shares]).alias("area_decile_from_midpoint"),
-    )
+    wanted = sorted({q for s in shares for q in (s, 0.5 + s / 2, 0.5 - s / 2)} | {0.5})
+
+    def parts(found: Column) -> Column:
+        at = lambda q: F.get(found, F.lit(wanted.index(q))) * dt
+        return F.struct(
+            at(0.5).alias("median_time"),
+            F.array(*[at(0.5 + s / 2) - at(0.5 - s / 2) if s else F.lit(0.0) for s in shares]).alias("width"),
+            F.array(*[at(s) - at(0.5) for s in shares]).alias("area_decile_from_midpoint"),
+        )
+
+    return F.element_at(F.transform(F.array(places_of_fractions(data, length, wanted)), parts), 1)
 
 
 def centre_time(data: Column, time: Column, endtime: Column, dt: Column) -> Column:
@@ -122,13 +149,22 @@ def goodness_of_split(data: Column) -> Column:
 
 
 def find_hits(records: DataFrame, threshold: Column, row_id: str = "row_id", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """Maximal runs of samples at or above the threshold: left, right, time, endtime, area, height, max_sample (the first maximum)."""
-    samples = records.select(*keys, row_id, "time", "dt", threshold.alias("__threshold"), F.posexplode(F.slice("data", F.lit(1), F.col("length"))).alias("pos", "x")).where(F.col("x") >= F.col("__threshold"))
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*keys, row_id).orderBy("pos"))
-    hits = samples.withColumn("__island", island).groupBy(*keys, row_id, "__island").agg(
-        F.min("pos").alias("left"), (F.max("pos") + 1).alias("right"), F.sum("x").alias("area"), F.max("x").alias("height"), F.min_by("pos", F.struct(-F.col("x"), F.col("pos"))).alias("max_sample"), F.first("time").alias("t0"), F.first("dt").alias("dt")
-    )
-    return hits.select(*keys, row_id, "left", "right", (F.col("t0") + F.col("left") * F.col("dt")).alias("time"), (F.col("t0") + F.col("right") * F.col("dt")).alias("endtime"), "area", "height", "max_sample")
+    """Maximal runs of samples at or above the threshold: left, right, time, endtime, area, height, max_sample (the first maximum).
+
+    Both edges of all runs are found within the array, and only hits become
+    rows: nothing is shuffled.  A null sample or threshold is in no hit.
+    """
+    over = lambda i: F.coalesce((i >= 0) & (i < F.col("length")) & (F.get("data", i) >= threshold), F.lit(False))
+    places = F.sequence(F.lit(0), F.col("length").cast("int") - 1)
+    left = F.filter(places, lambda i: over(i) & ~over(i - 1))
+    right = F.transform(F.filter(places, lambda i: over(i) & ~over(i + 1)), lambda i: i + 1)
+    spans = F.explode(F.arrays_zip(left.alias("left"), right.alias("right")))
+    rows = records.where("length > 0").select(*keys, row_id, "time", "dt", "data", spans.alias("s")).select("*", "s.left", "s.right")
+    rows = rows.withColumn("data", F.slice("data", F.col("left") + 1, F.col("right") - F.col("left"))).withColumn("height", F.array_max("data"))
+    whole = isinstance(records.schema["data"].dataType.elementType, T.IntegralType)
+    area = F.aggregate("data", F.lit(0).cast("long") if whole else F.lit(0.0), lambda a, x: a + x)
+    first = F.col("left") + F.array_position("data", F.col("height")).cast("int") - 1
+    return rows.select(*keys, row_id, "left", "right", (F.col("time") + F.col("left") * F.col("dt")).alias("time"), (F.col("time") + F.col("right") * F.col("dt")).alias("endtime"), area.alias("area"), "height", first.alias("max_sample"))
 
 
 def sum_waveform(pieces: DataFrame, keys: list[str], length: str, start: str) -> DataFrame:
@@ -251,3 +287,77 @@ def merge_peaks(peaks: DataFrame, group: list[str]) -> DataFrame:
     start = ((F.col("time") - F.col("__t0")) / F.col("__dt")).cast("int")
     summed = sum_waveform(pieces.select(*group, "__length", start.alias("__at"), fine.alias("data")), group, "__length", "__at")
     return whole.join(summed, group)
+
+
+def natural_break(data: Column, threshold: float, wing: int = 0, low: bool = False) -> Column:
+    """The sample number of the best split, in an array, if its goodness is over the threshold; else an empty one.
+
+    With ``low`` the goodness is scaled down at high samples: by one minus the
+    share of the maximum of the waveform, smoothed over ``wing`` samples on
+    either side.
+    """
+    found = goodness_of_split(data)
+    if low:
+        smooth = moving_average(data, wing) if wing else F.transform(data, lambda x: x.cast("double"))
+        found = F.element_at(F.transform(F.array(F.struct(found.alias("g"), smooth.alias("s"))), lambda b: F.zip_with(b["g"], b["s"], lambda g, s: g * (1 - s / F.array_max(b["s"])))), 1)
+    best = F.transform(F.array(found), lambda g: F.when(F.array_max(g) > threshold, F.array((F.array_position(g, F.array_max(g)) - 1).cast("int"))).otherwise(F.array().cast("array<int>")))
+    return F.element_at(best, 1)
+
+
+def _region(x: np.ndarray, fraction: float, upper: bool) -> tuple[np.ndarray, float]:
+    """Samples of the smallest region above one level that holds the fraction of the area, and that level; all samples if none above the lowest does."""
+    order = np.argsort(-x, kind="stable")
+    high, n = x[order], len(x)
+    j = np.arange(1, n)
+    lowest = high[1:] if upper else np.zeros(n - 1)
+    sums = np.cumsum(high)[:-1]
+    seen = (sums - j * lowest) / high.sum()
+    fits = np.flatnonzero((seen >= fraction) & ((j == 1) | (high[1:] != high[:-1])))
+    if not len(fits):
+        return np.arange(n), (1 - fraction) * float(x.sum()) / n
+    k = fits[0]
+    share = fraction / seen[k]
+    return np.sort(order[: k + 1]), float((1 - share) * sums[k] / j[k] + share * lowest[k])
+
+
+def density_regions(data: Column, fractions: list[float], upper: bool = False) -> Column:
+    """For each fraction a struct of left[], right[] (the runs of samples of the highest density region, half-open) and height.
+
+    With ``upper`` only the area above the region's level counts.  Null or empty
+    waveforms, and those without area, have no runs and height NaN.
+    """
+
+    @F.pandas_udf("array<struct<left: array<int>, right: array<int>, height: double>>")
+    def regions(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            x = np.asarray(row if row is not None else [], float)
+            found = []
+            for fraction in fractions:
+                places, height = _region(x, fraction, upper) if x.sum() > 0 else (np.zeros(0, int), float("nan"))
+                cuts = np.flatnonzero(np.diff(places) > 1)
+                left = places[np.concatenate([[0], cuts + 1])] if len(places) else places
+                right = places[np.concatenate([cuts, [len(places) - 1]])] + 1 if len(places) else places
+                found.append({"left": left.tolist(), "right": right.tolist(), "height": height})
+            out.append(found)
+        return pd.Series(out)
+
+    return regions(data)
+
+
+def density_width(data: Column, fractions: list[float], dt: Column, interpolate: bool = False) -> Column:
+    """For each fraction a struct of left and right: the outer edges of the region of the samples over 0, with ``interpolate`` where the waveform crosses the region's level; NaN without area."""
+    x = F.transform(data, lambda v: F.greatest(v.cast("double"), F.lit(0.0)))
+    at = lambda i: F.coalesce(F.get(x, i), F.lit(0.0))
+    nan = F.lit(float("nan"))
+
+    def edges(r: Column) -> Column:
+        first, last = F.get(r["left"], F.lit(0)), F.element_at(r["right"], -1) - 1
+        low, high = first.cast("double"), last + F.lit(1.0)
+        if interpolate:
+            low = first + 0.5 - (at(first) - r["height"]) / (at(first) - F.when(first > 0, at(first - 1)).otherwise(0.0))
+            high = last + 0.5 + (at(last) - r["height"]) / (at(last) - at(last + 1))
+        some = F.size(r["left"]) > 0
+        return F.struct(F.when(some, low * dt).otherwise(nan).alias("left"), F.when(some, high * dt).otherwise(nan).alias("right"))
+
+    return F.transform(density_regions(x, fractions, True), edges)

@@ -51,7 +51,14 @@ SQL["gap_groups_extended"] = f"WITH {T.HITS_SQL}" + ISLANDS.format(k="run_id", g
 
 @query("")
 def gap_groups_capped(spark, d):
-    return I.gap_groups(T.hits(spark, d), 600_000_000_000, max_duration=T.HOUR)
+    return I.gap_groups(T.hits(spark, d), 600_000_000_000, 5_000_000_000, 7_000_000_000, max_duration=T.HOUR)
+
+
+SQL["gap_groups_capped"] = f"""WITH RECURSIVE {T.HITS_SQL}, o AS (SELECT run_id, time, endtime, row_number() OVER (PARTITION BY run_id ORDER BY time, endtime) AS k FROM hits),
+r AS (SELECT run_id, k, time AS start, endtime AS last, 0 AS grp FROM o WHERE k = 1 UNION ALL
+SELECT o.run_id, o.k, CASE WHEN c THEN o.time ELSE start END, CASE WHEN c THEN o.endtime ELSE greatest(last, o.endtime) END, grp + CAST(c AS INT)
+FROM (SELECT r.*, n.time AS t, n.endtime AS e, n.time - last >= 600000000000 OR n.endtime - start + 10000000000 + 7000000000 > {T.HOUR} AS c FROM r JOIN o n ON n.run_id = r.run_id AND n.k = r.k + 1) x JOIN o ON o.run_id = x.run_id AND o.k = x.k + 1)
+SELECT run_id, min(start) - 5000000000 AS time, max(last) + 7000000000 AS endtime, count(*) AS n FROM r GROUP BY run_id, grp"""
 
 
 @query("SELECT f.run_id, f.row_id, coalesce(s.idx, -1) AS container FROM fine f LEFT JOIN slots s ON f.run_id = s.run_id AND s.time <= f.time AND f.endtime <= s.endtime AND s.endtime > f.time", T.HITS_SQL, T.SLOTS_SQL, T.FINE_SQL)
@@ -243,27 +250,55 @@ def local_minimum_splits(spark, d):
     return _absolute(spark, d).select("row_id", F.array_join(W.local_minimum_splits(F.col("data"), 100.0, 1.5).cast("array<string>"), ",").alias("splits"))
 
 
-@query("")
+MINIMA = f"""WITH RECURSIVE {T.SAMPLES_SQL}, {ABS}, r AS (SELECT DISTINCT row_id, -1 AS i, -1e300 AS top, 1e300 AS low, -1 AS place, '' AS splits FROM absolute UNION ALL
+SELECT row_id, n, CASE WHEN split THEN x ELSE greatest(top, x) END, CASE WHEN split THEN 1e300 WHEN x < low THEN x ELSE low END, CASE WHEN split THEN -1 WHEN x < low AND top > greatest(x + 100, x * 1.5) THEN n WHEN x < low THEN -1 ELSE place END, CASE WHEN split THEN splits || ',' || place ELSE splits END
+FROM (SELECT r.*, s.i AS n, CAST(s.x AS DOUBLE) AS x, r.place >= 0 AND s.x > greatest(r.low + 100, r.low * 1.5) AS split FROM r JOIN absolute s ON s.row_id = r.row_id AND s.i = r.i + 1))"""
+SQL["local_minimum_splits"] = MINIMA + " SELECT row_id, substr(splits, 2) AS splits FROM r WHERE i = 63"
+
+
+GOF = """w AS (SELECT row_id, i, x, sum(x) OVER l AS a, sum(x * i) OVER l AS b, sum(x * i * i) OVER l AS c, sum(x) OVER t AS ta, sum(x * i) OVER t AS tb, sum(x * i * i) OVER t AS tc FROM (SELECT row_id, i, CAST(x AS DOUBLE) AS x FROM absolute) WINDOW l AS (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY row_id)),
+gof AS (SELECT row_id, i, 1 - (CASE WHEN a > 0 THEN c - b * b / a ELSE 0 END + CASE WHEN ta - a + x > 0 THEN (tc - c + x * i * i) - (tb - b + x * i) * (tb - b + x * i) / (ta - a + x) ELSE 0 END) / (tc - tb * tb / ta) AS g FROM w),
+breaks AS (SELECT row_id, max(g) AS best, arg_max(i, g) AS place FROM gof GROUP BY row_id)"""
+
+
+@query("SELECT row_id, round(best, 6) AS best, place + 1 AS place FROM breaks", T.SAMPLES_SQL, ABS, GOF)
 def goodness_of_split(spark, d):
     gof = W.goodness_of_split(F.col("data"))
-    return _absolute(spark, d).select("row_id", F.round(F.array_max(gof), 6).alias("best"), F.array_position(gof, F.array_max(gof)).alias("at"))
+    return _absolute(spark, d).select("row_id", F.round(F.array_max(gof), 6).alias("best"), F.array_position(gof, F.array_max(gof)).alias("place"))
 
 
-@query("")
+EDGES = """tops AS (SELECT row_id, max(x) AS m, arg_min(i, -x * 1000 + i) AS p FROM (SELECT row_id, i, CAST(x AS BIGINT) AS x FROM absolute) GROUP BY row_id),
+near AS (SELECT a.row_id, p, m * 0.5 AS level, max(i) FILTER (i < p AND x < m * 0.5) AS l, min(i) FILTER (i > p AND x < m * 0.5) AS r FROM absolute a JOIN tops USING (row_id) GROUP BY ALL)"""
+
+
+@query(
+    """SELECT n.row_id, coalesce(round(l + 0.5 + (level - b.x) / (c.x - b.x), 6), 'NaN'::DOUBLE) AS "left", coalesce(round(r - 0.5 + (e.x - level) / (e.x - f.x), 6), 'NaN'::DOUBLE) AS "right" FROM near n
+LEFT JOIN absolute b ON b.row_id = n.row_id AND b.i = l LEFT JOIN absolute c ON c.row_id = n.row_id AND c.i = l + 1 LEFT JOIN absolute e ON e.row_id = n.row_id AND e.i = r - 1 LEFT JOIN absolute f ON f.row_id = n.row_id AND f.i = r""",
+    T.SAMPLES_SQL, ABS, EDGES,
+)
 def full_width(spark, d):
-    return _absolute(spark, d).select("row_id", W.full_width(F.col("data"), 0.5).alias("w")).select("row_id", "w.*")
+    out = _absolute(spark, d).select("row_id", W.full_width(F.col("data"), 0.5).alias("w"))
+    return out.select("row_id", F.round("w.left", 6).alias("left"), F.round("w.right", 6).alias("right"))
 
 
-@query("")
+def _place(q: float) -> str:
+    return f"arg_min(i + ({q} * a - (c - x)) / x, i) FILTER (x > 0 AND c >= {q} * a)"
+
+
+@query(f"SELECT row_id, round({_place(0.5)}, 6) AS median_time, round({_place(0.75)} - {_place(0.25)}, 6) AS width_50, round({_place(0.9)} - {_place(0.1)}, 6) AS width_80, round({_place(0.2)} - {_place(0.5)}, 6) AS decile_2, round({_place(0.9)} - {_place(0.5)}, 6) AS decile_9 FROM sums GROUP BY row_id", T.SAMPLES_SQL, ABS)
 def widths(spark, d):
-    return _absolute(spark, d).select("row_id", W.widths(F.col("data"), F.col("length"), F.col("dt")).alias("w")).select("row_id", "w.*")
+    out = _absolute(spark, d).select("row_id", W.widths(F.col("data"), F.col("length"), F.col("dt")).alias("w"))
+    at = lambda name, i: F.round(F.get(f"w.{name}", F.lit(i)), 6)
+    return out.select("row_id", F.round("w.median_time", 6).alias("median_time"), at("width", 5).alias("width_50"), at("width", 8).alias("width_80"), at("area_decile_from_midpoint", 2).alias("decile_2"), at("area_decile_from_midpoint", 9).alias("decile_9"))
 
 
-RUNS_SQL = "runs AS (SELECT run_id AS name, min(kind) AS mode, string_agg(DISTINCT kind, ',' ORDER BY kind) AS tags FROM hits WHERE row_id % 3 = 0 OR run_id < '2024-01-10' GROUP BY run_id)"
+RUNS_SQL = "runs AS (SELECT run_id AS name, list(kind ORDER BY n DESC, kind)[1] AS mode, string_agg(kind, ',' ORDER BY kind) AS tags FROM (SELECT run_id, kind, count(*) AS n FROM hits GROUP BY run_id, kind) GROUP BY run_id)"
 
 
 def _runs(spark, d):
-    return T.hits(spark, d).groupBy(F.col("run_id").alias("name")).agg(F.min("kind").alias("mode"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("tags"))
+    """A run for each day: its most frequent kind, and all kinds."""
+    kinds = T.hits(spark, d).groupBy(F.col("run_id").alias("name"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.groupBy("name").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("mode"), F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("tags"))
 
 
 @query("SELECT name, mode, tags FROM runs WHERE name LIKE '%-01-0%' AND list_contains(string_split(tags, ','), 'view') AND NOT list_contains(string_split(tags, ','), 'refund')", T.HITS_SQL, RUNS_SQL)

@@ -4,7 +4,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from spanlight.plans import queries
+from spanlight.plans import peak_queries, queries
+
+assert peak_queries.SQL is queries.SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
