@@ -9,7 +9,9 @@ A round moves cells towards the shard where most of their group is and where
 there is still room; the moves into a shard are accepted in hash order until its
 quota is used up.  Unlinked documents have no neighbours and fill what is left,
 which makes the row counts of the shards equal up to one.  Ranks are two-level
-(counts per hash bucket, then within a bucket), so no task sees a whole shard.
+(counts per hash bucket, then within a bucket), so no task sees a whole shard: a
+bucket holds about ``RANK_BUCKET_ROWS`` rows, also of the unlinked ones, which
+share one label.
 """
 
 from __future__ import annotations

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import documents
+from ._spark import documents, freed
 
 #: Labelled documents that a model is fitted on, about; a documented bound on the sample.
 SAMPLE_DOCS = 20_000
@@ -170,7 +170,7 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
     lookup = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in zip(langs, values, strict=True) for x in pair]), F.col("lang"))
     if sum(sizes.values()) > sample_docs:
         rows = rows.where(F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 30)) < lookup([int(min(1.0, each / n) * (1 << 30)) for n in sizes.values()]))
-    counts = rows.select("text", lookup(range(len(langs))).cast("long").alias("code")).mapInArrow(_grams(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", lookup(range(len(langs))).cast("long").alias("code")).mapInArrow(freed(_grams(depth)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     got = counts.toArrow()
     if not got.num_rows:
         return None
@@ -214,11 +214,12 @@ def predict_language(docs: DataFrame, model: ContextTrees | None, text_col: str
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs[best], pa.string()), pa.array(score)], [*names, pred_col, score_col])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(predict, schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(freed(predict), schema)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == remainder
+    """Whether crc32 of the id as text leaves the remainder; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
