@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlight.llm._spark import checkpoint_folder
+from spanlight.llm._spark import forget, stored
 from spanlight.llm.byte_bpe import encode_bpe, vocabulary
 from spanlight.llm.exact_dedup import exact_dedup
 from spanlight.llm.language_id import UNDETERMINED, fit_language_model, held_out, predict_language
@@ -17,7 +15,7 @@ from spanlight.llm.ngram_join import ngram_components
 #: Documents whose language has a smaller share of the probability go.
 LEAST_SCORE = 0.5
 #: States and pieces that a worker keeps while it encodes: fewer than the tokenizer alone, for other stages' operators share the memory.
-KEPT_STATES, KEPT_PIECES = 40_000, 150_000
+KEPT_STATES, KEPT_PIECES = 20_000, 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +32,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar 5-gram sets the one with the smallest id."""
-    gone = ngram_components(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by similar 5-gram sets the one with the smallest id; a null id comes last, and equal ids go by a hash of the text."""
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    gone = ngram_components(docs.select(key.alias("__key"), "text"), id_col="__key").where("component_id != __key").select("__key").distinct()
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each but the last is written to the shared checkpoint folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
