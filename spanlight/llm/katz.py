@@ -356,6 +356,32 @@ def katz_scores(docs: DataFrame, held, order: int = 2, min_count: int = 2, id_co
 
 
 def op3_katz_backoff(spark, sf_dir: str) -> DataFrame:
-    """Every bigram seen is kept, also those seen once."""
+    """Every bigram seen is kept, also those seen once; logarithms are rounded to 6 places."""
     docs = documents(spark, sf_dir)
-    return katz_scores(docs.select("doc_id", "text"), held_out("doc_id", 10, 0), min_count=1)
+    scores = katz_scores(docs.select("doc_id", "text"), held_out("doc_id", 10, 0), min_count=1)
+    return scores.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+#: crc32 by its table of 256 steps, tokens, counts, discounts, backoff weights, scores.
+OP3_SQL = r"""
+WITH RECURSIVE steps AS (SELECT range AS b, range AS c, 0 AS s FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM steps WHERE s < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE s = 8),
+docs AS (SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10 = 0 AS held_out,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [' '] AS ws FROM documents, crc),
+tokens AS (SELECT doc_id, held_out, unnest(ws) AS w, unnest(['start '] || ws[:-2]) AS h FROM docs),
+unigrams AS (SELECT w, count(*) FILTER (NOT held_out) AS c FROM tokens GROUP BY w),
+bigrams AS (SELECT h, w, count(*) FILTER (NOT held_out) AS c FROM tokens GROUP BY h, w),
+totals AS (SELECT sum(c) AS n, count(*) FILTER (c > 0) AS v FROM unigrams),
+counts AS (SELECT 1 AS k, r, (SELECT count(*) FROM unigrams WHERE c = r) AS n FROM range(1, 7) x(r) UNION ALL SELECT 2, r, (SELECT count(*) FROM bigrams WHERE c = r) FROM range(1, 7) x(r)),
+lines AS (SELECT k, list(CAST(n AS DOUBLE) ORDER BY r) AS ns, least(regr_slope(ln(greatest(n, 0.5)), ln(r)), -1.1) AS slope FROM counts GROUP BY k),
+factors AS (SELECT k, ns, list_transform([1, 2, 3, 4, 5], lambda r: ((r + 1) * ns[r + 1] / ns[r] / r - 6 * ns[6] / ns[1]) / (1 - 6 * ns[6] / ns[1])) AS plain,
+  list_transform([1, 2, 3, 4, 5], lambda r: (pow((r + 1) / r, slope + 1) - pow(6, slope + 1)) / (1 - pow(6, slope + 1))) AS smooth FROM lines),
+discounts AS (SELECT k, ns, CASE WHEN list_min(ns) > 0 AND 6 * ns[6] < ns[1] AND list_min(plain) > 0 AND list_max(plain) < 1 THEN plain ELSE smooth END AS d FROM factors),
+first AS (SELECT w, c, c * CASE WHEN c BETWEEN 1 AND 5 THEN d[c] ELSE 1 END / n AS p FROM unigrams, totals, discounts WHERE k = 1),
+unknown AS (SELECT greatest(list_sum(list_transform([1, 2, 3, 4, 5], lambda r: ns[r] * r * (1 - d[r]))) / n, 1e-12) AS u FROM totals, discounts WHERE k = 1),
+second AS (SELECT h, w, c, c * CASE WHEN c BETWEEN 1 AND 5 THEN d[c] ELSE 1 END AS kept FROM bigrams, discounts WHERE k = 2),
+contexts AS (SELECT h, sum(s.c) AS every, greatest(1 - sum(kept) / greatest(sum(s.c), 1), 1e-12) / greatest(1 - sum(CASE WHEN s.c > 0 THEN p ELSE 0 END), 1e-12) AS alpha FROM second s JOIN first USING (w) GROUP BY h),
+scored AS (SELECT t.doc_id, t.held_out, f.c, CASE WHEN s.c > 0 THEN s.kept / every ELSE alpha * CASE WHEN f.c > 0 THEN p ELSE u END END AS chance FROM tokens t JOIN first f USING (w) JOIN second s ON s.h = t.h AND s.w = t.w JOIN contexts x ON x.h = t.h, unknown)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens, round(sum(log10((c + 0.1) / (n + 0.1 * (v + 1)))), 6) AS base_score, round(sum(log10(chance)), 6) AS score
+FROM scored, totals GROUP BY doc_id, held_out
+"""
