@@ -14,10 +14,14 @@ from ._spark import documents
 #: Bytes that a payload is a multiple of; also the width of its image.
 ROW = 576
 PAD = b"\xff"
+#: Samples in one file; longer payloads are several files, one after the other.
+FILE_SAMPLES = ROW << 12
 
 
 def pack_grey(samples: bytes, row: int = ROW) -> bytes:
-    """A file whose opaque grey pixels are the samples, in rows of ``row`` (wider beyond the format's height)."""
+    """A file whose opaque grey pixels are the samples, in rows of ``row`` (wider beyond the format's height); beyond FILE_SAMPLES several, one after the other."""
+    if len(samples) > FILE_SAMPLES:
+        return b"".join(pack_grey(samples[k : k + FILE_SAMPLES], row) for k in range(0, len(samples), FILE_SAMPLES))
     width, height = webp.sides(len(samples), row)
     grey = np.zeros(width * height, np.uint32)
     grey[: len(samples)] = np.frombuffer(samples, np.uint8)
@@ -30,7 +34,9 @@ def encode_text_images(docs: DataFrame, text_col: str = "text", media_col: str =
 
     The bytes are padded with 255 to a positive multiple of ``ROW`` and stored
     as 8-bit samples.  Null texts are stored as the empty text: one row of
-    padding.  Texts beyond the format's 16384 x 16384 samples are an error.
+    padding.  Texts beyond FILE_SAMPLES are stored as several files, one after
+    the other in the binary, so memory is bounded by a file and the text.
+    Repeated rows have equal images; an empty table gives no rows.
     """
     names = [n for n in docs.columns if n not in (text_col, media_col, size_col)]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in names) + f"`{size_col}` long, `{media_col}` binary"
@@ -57,8 +63,9 @@ def decode_images(media: DataFrame, media_col: str = "media", keep_media: bool =
     """Columns of ``media``, and ``width``, ``height``, ``channels``, ``pixels``, ``feature`` of each image; columns of these names are replaced.
 
     ``pixels`` holds one byte a pixel for opaque grey images (``channels`` 1),
-    else red, green, blue, alpha (4).  Null media, and bytes that are no
-    lossless WebP, give nulls.
+    else red, green, blue, alpha (4).  Several files of one width, one after the
+    other, are one image, each below the one before.  Null media, and bytes that
+    are no lossless WebP, give nulls.
     """
     own = ["width", "height", "channels", "pixels", "feature"]
     names = [n for n in media.columns if n not in own and (keep_media or n != media_col)]
@@ -68,9 +75,12 @@ def decode_images(media: DataFrame, media_col: str = "media", keep_media: bool =
         if file is None:
             return (None,) * 5
         try:
-            width, height, argb = webp.decode(file)
+            parts = [webp.decode(x) for x in webp.files(file)]
         except ValueError:
             return (None,) * 5
+        if len({w for w, _, _ in parts}) > 1:
+            return (None,) * 5
+        width, height, argb = parts[0][0], sum(h for _, h, _ in parts), np.concatenate([a for _, _, a in parts]) if len(parts) > 1 else parts[0][2]
         blue, green, red, alpha = (((argb >> k) & 255).astype(np.uint8) for k in (0, 8, 16, 24))
         if (alpha == 255).all() and np.array_equal(red, green) and np.array_equal(green, blue):
             return width, height, 1, green.tobytes(), features(width, height, green)

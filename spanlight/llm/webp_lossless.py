@@ -41,8 +41,14 @@ MIN_MATCH = 16
 
 
 class BitWriter:
+    """Bits, the lowest first; they are packed into bytes as they come, ``AT_ONCE`` values at a time."""
+
+    AT_ONCE = 1 << 15
+
     def __init__(self):
+        self.done: list[bytes] = []
         self.parts: list[np.ndarray] = []
+        self.open = 0
         self.waiting: list[int] = []  # value, bits, value, bits, ..
 
     def put(self, value: int, bits: int) -> None:
@@ -50,13 +56,20 @@ class BitWriter:
 
     def put_all(self, values: np.ndarray, bits: np.ndarray) -> None:
         self._flush()
-        self._append(values, bits)
+        for k in range(0, len(values), self.AT_ONCE):
+            self._append(values[k : k + self.AT_ONCE], bits[k : k + self.AT_ONCE])
 
     def _append(self, values: np.ndarray, bits: np.ndarray) -> None:
         ends = np.cumsum(bits)
         if len(ends) and ends[-1]:
             shift = np.arange(ends[-1]) - np.repeat(ends - bits, bits)
             self.parts.append(((np.repeat(values, bits) >> shift) & 1).astype(np.uint8))
+            self.open += len(shift)
+            if self.open >= 8 * self.AT_ONCE:
+                every = np.concatenate(self.parts)
+                whole = len(every) & ~7
+                self.done.append(np.packbits(every[:whole], bitorder="little").tobytes())
+                self.parts, self.open = [every[whole:]], len(every) - whole
 
     def _flush(self) -> None:
         if self.waiting:
@@ -66,7 +79,7 @@ class BitWriter:
 
     def bytes(self) -> bytes:
         self._flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return b"".join([*self.done, np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()])
 
 
 class BitReader:
@@ -778,6 +791,18 @@ def decode(file: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels | np.uint32(0xFF000000) if opaque else pixels
 
 
+def files(data: bytes) -> list[bytes]:
+    """The files that lie one after the other in ``data``, by the sizes they state; what follows the last stays with it."""
+    out = []
+    while True:
+        size = 8 + int.from_bytes(data[4:8], "little")
+        size += size & 1
+        if data[size : size + 4] != b"RIFF":
+            return [*out, data]
+        out.append(data[:size])
+        data = data[size:]
+
+
 def sides(samples: int, row: int) -> tuple[int, int]:
     """Width (a multiple of ``row``) and height for so many samples; the last row may be in part unused."""
     wide = row * max(1, math.ceil(samples / row / MAX_SIDE))

@@ -108,3 +108,15 @@ def test_media_columns(spark):
     odd = spark.createDataFrame([(1, None), (2, bytearray(b"no image"))], "doc_id long, media binary")
     assert [r.pixels for r in decode_images(odd).collect()] == [None, None]
     assert encode_text_images(docs.limit(0)).count() == 0
+
+
+def test_long_payloads_are_several_files():
+    from spanlight.llm.media import FILE_SAMPLES, ROW, pack_grey
+
+    rng = np.random.default_rng(5)
+    samples = rng.choice(np.frombuffer(b"some letters, a few of them", np.uint8), FILE_SAMPLES + 3 * ROW).tobytes()
+    parts = webp.files(pack_grey(samples))
+    assert len(parts) == 2 and webp.files(b"") == [b""]
+    back = [webp.decode(p) for p in parts]
+    assert {w for w, _, _ in back} == {ROW}
+    assert b"".join(((a >> 8) & 255).astype(np.uint8).tobytes() for _, _, a in back) == samples
