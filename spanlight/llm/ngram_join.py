@@ -14,8 +14,9 @@
    once; a subtree is left when its sizes, or what is still to come in it or in
    the set, cannot reach the threshold, or all of it is in the set's component.
 5. Blocks above ``BLOCK_BYTES`` are cut into chunks: each chunk alone, then one
-   set of every component of every chunk, then those pairs of chunks that still
-   hold different components and sizes that can link.  Nothing is left out.
+   set of every component of every chunk where these are at most ``BLOCK_BYTES``
+   as well, then those pairs of chunks that still hold different components and
+   sizes that can link.  Nothing is left out.
 
 Only components are asked for, so links inside a component that is already
 known are not tested.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._spark import cut_lineage, documents, plan_bytes, shuffle_partitions
+from ._spark import cut_lineage, documents, forget, freed, plan_bytes, shuffle_partitions, stored, trimmed
 from .components import connected_components
 
 #: Most n-grams that are held to be heavy (the most frequent); the bound of a broadcast.
@@ -110,7 +111,8 @@ def _nodes(words: int, heavy):
                 many = np.concatenate([[0], np.cumsum(_is_heavy(grams, heavy.value))])
                 n, names = np.diff(bounds), _set_names(grams, bounds).view(np.int64)
                 ids = batch.column(0).slice(row, len(n))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(names, mask=n == 0), pa.array((many[bounds[1:]] - many[bounds[:-1]]).astype(np.int64))], ["id", "n", "node", "n_heavy"])
+                keys = batch.column(batch.schema.get_field_index("key")).slice(row, len(n))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(names, mask=n == 0), pa.array((many[bounds[1:]] - many[bounds[:-1]]).astype(np.int64)), keys], ["id", "n", "node", "n_heavy", "key"])
 
     return describe
 
@@ -351,13 +353,15 @@ def _large_blocks(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
     classes = classes.withColumn("cells", F.ceil(F.col("bytes") * 4 / block_bytes).cast("long")).withColumn("first", F.sum("cells").over(per) - F.col("cells"))
     chunked = cut_lineage(
         sets.withColumn("class", class_of)
-        .join(F.broadcast(classes.select("block", "class", "cells", "first")), ["block", "class"])
+        .join(classes.select("block", "class", "cells", "first"), ["block", "class"])
         .withColumn("chunk", F.col("first") + F.pmod(cells, F.col("cells")))
         .select("block", "chunk", "node", "n", "line")
     )
     inside = cut_lineage(chunked.groupBy("block", "chunk").applyInArrow(_join_block(percent), "a long, b long"))
     pivots = inside.groupBy("b").agg(F.min("a").alias("node")).select("node")
-    across = cut_lineage(chunked.join(pivots, "node").withColumn("group", F.pmod(cells, F.lit(1))).groupBy("block", "group").applyInArrow(_join_block(percent), "a long, b long")) if pivots.count() * 4096 < 4 * block_bytes else inside.limit(0)
+    pivots = chunked.join(pivots, "node")
+    fits = pivots.groupBy("block").agg(F.sum(F.octet_length("line") + 64).alias("bytes")).where(F.col("bytes") <= block_bytes).select("block")
+    across = cut_lineage(pivots.join(fits, "block").groupBy("block").applyInArrow(_join_block(percent), "a long, b long"))
     links = inside.union(across)
     now = connected_components(links)
     labelled = chunked.join(now, "node")
@@ -378,27 +382,32 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     in 100 or more.  With fewer words than ``words`` the whole sequence is the
     one n-gram.  Null, empty and blank texts have no n-grams and link with
     nothing; their component is their id.  Rows with equal sets link.  A null
-    id is never the smallest, unless all are null.  Repeated rows are linked
-    rows.  An empty table gives no rows.
+    id is never the smallest, unless all are null; rows without an id link and
+    bridge others like any.  Repeated rows are linked rows.  Texts of any length
+    are read whole; other columns are not read.  An empty table gives no rows.
     """
     if not 1 <= words <= 8 or not 50 < percent <= 100:
         raise ValueError("1 to 8 words, and over 50 percent")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = min(max(shuffle_partitions(spark), plan_bytes(texts) // (64 << 20)), 1 << 20)  # a plan of unknown size is estimated at the most there is
-    often = texts.select("text").mapInArrow(_heavy(words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_HEAVY)
+    parts = min(max(shuffle_partitions(spark), plan_bytes(texts) // (64 << 20)), 1 << 20)  # a plan of unknown size is estimated at the most there is
+    often = texts.select("text").mapInArrow(freed(_heavy(words)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MAX_HEAVY)
     heavy = spark.sparkContext.broadcast(np.sort(often.toPandas()["gram"].to_numpy(np.int64).view(np.uint64)))
 
     kind = texts.schema["id"].dataType.simpleString()
-    rows = cut_lineage(texts.mapInArrow(_nodes(words, heavy), f"id {kind}, n long, node long, n_heavy long"))
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("n_heavy").alias("n_heavy"))
-    postings = texts.select("text").mapInArrow(_blobs(words, heavy, buckets), "bucket int, grams binary, owners binary, nodes binary")
-    packed = postings.groupBy("bucket").applyInArrow(_shared(buckets), "part int, nodes binary, many binary, grams binary")
+    rows = stored(texts.withColumn("key", F.when(F.col("id").isNull(), F.xxhash64("text"))).mapInArrow(freed(_nodes(words, heavy)), f"id {kind}, n long, node long, n_heavy long, key long"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("n_heavy").alias("n_heavy"), F.min("key").alias("key"))
+    postings = texts.select("text").mapInArrow(freed(_blobs(words, heavy, 2 * parts)), "bucket int, grams binary, owners binary, nodes binary")
+    packed = postings.groupBy("bucket").applyInArrow(trimmed(_shared(parts)), "part int, nodes binary, many binary, grams binary")
     shared = packed.groupBy("part").applyInArrow(_merged, "node long, shared binary, many long")
     least = F.ceil(F.col("n") * percent / 100)
-    survivors = cut_lineage(nodes.join(shared, "node", "left").where(F.coalesce("many", F.lit(0)) + F.col("n_heavy") >= F.greatest(least, F.lit(1))))
+    survivors = stored(nodes.join(shared, "node", "left").where(F.coalesce("many", F.lit(0)) + F.col("n_heavy") >= F.greatest(least, F.lit(1))))
     with_text = survivors.where("rep IS NOT NULL").join(texts.where("id IS NOT NULL").withColumnRenamed("id", "rep"), "rep").select("node", "n", "shared", "text")
-    sets = cut_lineage(_of_node(with_text, words).mapInArrow(_ordered(words, heavy, percent), "node long, n long, line binary, prefix array<long>").dropDuplicates(["node"]))
+    # sets that only rows without an id have: one text for each, found by its hash
+    nameless = texts.where("id IS NULL").groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
+    with_text = with_text.unionByName(survivors.where("rep IS NULL").join(nameless, "key").select("node", "n", "shared", "text"))
+    sets = stored(_of_node(with_text, words).mapInArrow(freed(_ordered(words, heavy, percent)), "node long, n long, line binary, prefix array<long>").dropDuplicates(["node"]))
+    forget(survivors)
     meet = sets.select("node", F.explode("prefix").alias("gram"))
     stars = meet.join(meet.groupBy("gram").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1"), "gram").where("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     blocks = connected_components(stars)
@@ -413,7 +422,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = connected_components(links)
     by_node = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = by_node.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = by_node.join(smallest, "component").where("component_id != rep OR component != node").select("node", "component_id")
+    linked = by_node.join(smallest, "component").where("NOT (component_id <=> rep) OR component != node").select("node", "component_id")
     first = nodes.select("node", "rep").join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(first, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
@@ -429,8 +438,20 @@ def _of_node(with_text: DataFrame, words: int) -> DataFrame:
                 fits[row : row + len(bounds) - 1] = _set_names(grams, bounds).view(np.int64) == node[row : row + len(bounds) - 1]
             yield batch.filter(pa.array(fits))
 
-    return with_text.mapInArrow(check, with_text.schema)
+    return with_text.mapInArrow(freed(check), with_text.schema)
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(g) AS n_shingles, component_id FROM s JOIN c ON c.node = s.doc_id
+"""

@@ -88,3 +88,15 @@ def test_tree_prunes_nothing_needed():
     for i in range(len(sets)):
         for j in range(i):
             assert (parent[i] == parent[j]) == (tree.find(i) == tree.find(j))
+
+
+def test_rows_without_an_id_link_and_bridge(spark):
+    line = [f"w{i}" for i in range(60)]
+    # each step changes one word at an end: neighbours have 54 or more of 58 or fewer n-grams in common, the ends too few
+    step = lambda k: " ".join([*line[k:], *(f"x{i}" for i in range(k))])
+    rows = [(7, step(0)), (None, step(5)), (4, step(10)), (None, "alone " * 3), (9, None), (None, step(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id) for r in ngram_components(docs).collect()), key=str)
+    assert got == sorted([(7, 4), (0, 4), (4, 4), (0, None), (9, 9), (0, 4)], key=str)
+    apart = spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")
+    assert {r.component_id for r in ngram_components(apart).collect()} == {7, 4}
