@@ -49,10 +49,14 @@ def cut_edges(state: DataFrame) -> int:
 
 
 def propagate(state: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """Rounds of label moves on (group, __cell, __n, __label) under ``quotas`` of documents a label."""
-    shards = len(quotas)
+    """Rounds of label moves on (group, __cell, __n, __label) under ``quotas`` of documents a label, till nothing moves or ``rounds`` are over.
+
+    A shard that is wished for but can't take the first of its wishes is closed
+    from then on, so that groups turn to another that has room.
+    """
+    shards, closed = len(quotas), set()
     for _ in range(rounds):
-        room = [q - n for q, n in zip(quotas, _loads(state, shards), strict=True)]
+        room = [0 if s in closed else q - n for s, (q, n) in enumerate(zip(quotas, _loads(state, shards), strict=True))]
         tally = state.groupBy(*_GROUP, "__label").agg(F.sum("__n").alias("__votes"))
         open_votes = F.when(_pick(room, F.col("__label")) > 0, F.struct(F.col("__votes"), -F.col("__label")))
         best = tally.groupBy(*_GROUP).agg(F.max(open_votes).alias("__best")).where("__best IS NOT NULL")
@@ -61,13 +65,19 @@ def propagate(state: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         wishes = here.where(F.struct(F.col("__votes"), -F.col("__label")) < F.col("__best")).select(*_GROUP, "__cell", "__n", (-F.col("__best.col2")).cast("int").alias("__to"), bucket.alias("__bucket"))
         sums = wishes.groupBy("__to", "__bucket").agg(F.sum("__n").alias("__n"))
         running = F.sum("__n").over(Window.partitionBy("__to").orderBy("__bucket"))
-        granted = sums.withColumn("__sum", running).where(F.col("__sum") <= _pick(room, F.col("__to"))).select("__to", "__bucket")
-        moves = wishes.join(F.broadcast(granted), ["__to", "__bucket"]).select(*_GROUP, "__cell", "__to")
-        state = cut_lineage(state.join(moves, [*_GROUP, "__cell"], "left").select(*_GROUP, "__cell", "__n", F.coalesce("__to", "__label").alias("__label")))
+        judged = cut_lineage(sums.withColumn("__granted", running <= _pick(room, F.col("__to"))))
+        outcome = {r["__to"]: r["n"] for r in judged.groupBy("__to").agg(F.count_if("__granted").alias("n")).collect()}
+        closed |= {s for s, n in outcome.items() if not n}
+        if not outcome:
+            break
+        if any(outcome.values()):
+            granted = judged.where("__granted").select("__to", "__bucket")
+            moves = wishes.join(F.broadcast(granted), ["__to", "__bucket"]).select(*_GROUP, "__cell", "__to")
+            state = cut_lineage(state.join(moves, [*_GROUP, "__cell"], "left").select(*_GROUP, "__cell", "__n", F.coalesce("__to", "__label").alias("__label")))
     return state
 
 
-def label_shards(docs: DataFrame, shards: int = 16, rounds: int = 4, cells: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def label_shards(docs: DataFrame, shards: int = 16, rounds: int = 10, cells: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``size``, ``text_crc32``, ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Row counts of the shards differ by one at most.  Null texts equal the empty
