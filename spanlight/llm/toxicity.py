@@ -6,9 +6,10 @@ bounded, stratified sample of labelled rows the machine gets the terms that tell
 the classes apart alone, and of the most frequent terms those of which a pair
 does, though its members may say nothing alone.  Over these a second-order
 factorization machine is fitted: a weight for each term and a vector whose inner
-products weigh pairs.  (Without a selection, over the sample's 77,784 terms of
-three and more documents, the machine learns the sample by heart: of 97 held-out
-toxic documents of sf0.1 it found 26, with it 85.)
+products weigh pairs.  (A prototype without a selection, with AdaGrad instead of
+Adam, over the 77,784 terms of three and more documents, fitted its sample
+closely and found at most 26 of 97 held-out toxic documents of sf0.1 after six
+epochs in the two settings that were tried; this module finds 85.)
 """
 
 from __future__ import annotations
