@@ -13,9 +13,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round points every node at the smallest of itself and its neighbours
     and contracts the links along these pointers; a star takes one round, a
-    path a logarithmic number.  Null ends are left out.
+    path a logarithmic number.  Null ends are left out.  The plan of ``links`` runs
+    once.
     """
-    links = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    links = cut_lineage(links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))
     state = cut_lineage(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("component", F.col("node")))
     links = cut_lineage(links.where("a != b").distinct())
     while not links.isEmpty():

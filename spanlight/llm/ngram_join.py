@@ -13,6 +13,8 @@
    the trie of those before it, so overlaps of common beginnings are counted
    once; a subtree is left when its sizes, or what is still to come in it or in
    the set, cannot reach the threshold, or all of it is in the set's component.
+   In blocks of ``TOGETHER`` sets and more all sets traverse one tree at once,
+   with overlaps counted by bits: near copies that do not link must meet there.
 5. Blocks above ``BLOCK_BYTES`` are cut into chunks: each chunk alone, then one
    set of every component of every chunk where these are at most ``BLOCK_BYTES``
    as well, then those pairs of chunks that still hold different components and
@@ -40,6 +42,8 @@ from .components import connected_components
 MAX_HEAVY = 1 << 16
 #: Bytes of sets that a task joins at once.
 BLOCK_BYTES = 48 << 20
+#: Sets of a block from which they traverse its tree together.
+TOGETHER = 32
 #: Bytes of postings that a task gathers before it writes blobs.
 FLUSH_BYTES = 16 << 20
 
@@ -330,12 +334,105 @@ class PrefixTree:
         self.insert(name, size, line)
 
 
+class SharedTree:
+    """The tree of all sets of a block, which all of them traverse at once; a pair meets where the lesser one is in the tree.
+
+    Sets go by size, tokens by the global order.  The tree is not stored: the sets
+    below a node are neighbours in the order of their lines, ``common`` the number
+    of tokens that each begins with like the one before it.
+    """
+
+    def __init__(self, percent: int, sizes: np.ndarray, lines: list[np.ndarray]):
+        self.percent, self.sizes = percent, sizes
+        self.many = np.array([len(x) for x in lines], np.int64)
+        ends = np.cumsum(self.many)
+        tokens = np.unique(np.concatenate(lines), return_inverse=True)[1]
+        self.lines = np.split(tokens, ends[:-1])
+        self.order = np.array(sorted(range(len(lines)), key=lambda k: lines[k].astype(">u8").tobytes()), np.int64)
+        self.common = np.zeros(len(lines), np.int64)
+        for k in range(1, len(lines)):
+            a, b = self.lines[self.order[k - 1]], self.lines[self.order[k]]
+            least = min(len(a), len(b))
+            other = a[:least] != b[:least]
+            self.common[k] = int(other.argmax()) if other.any() else least
+        # tokens of a 64th of the sets and more as bits, the most frequent first; postings of the others: neither takes more than the lines
+        owner = np.repeat(np.arange(len(lines)), self.many)
+        often = np.bincount(tokens)
+        dense = np.flatnonzero(often * 64 >= len(lines))
+        dense = dense[np.argsort(-often[dense], kind="stable")]
+        self.rank = np.full(len(often), -1, np.int64)
+        self.rank[dense] = np.arange(len(dense))
+        rank = self.rank[tokens]
+        as_bits = rank >= 0
+        self.bits = np.zeros((-(-len(dense) // 64), len(lines)), np.uint64)
+        np.bitwise_or.at(self.bits, (rank[as_bits] >> 6, owner[as_bits]), np.uint64(1) << (rank[as_bits] & 63).astype(np.uint64))
+        few = np.flatnonzero(~as_bits)
+        few = few[np.argsort(tokens[few], kind="stable")]
+        self.owners = owner[few]
+        self.begin = np.searchsorted(tokens[few], np.arange(len(often) + 1))
+
+    def overlaps(self, tokens: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """How many of the tokens each of the sets has."""
+        out, rank = np.zeros(len(sets), np.int64), self.rank[tokens]
+        bits = rank[rank >= 0]
+        masks = np.zeros(len(self.bits), np.uint64)
+        np.bitwise_or.at(masks, bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
+        rows = np.flatnonzero(masks)
+        for k in range(0, len(rows), 32):
+            at = rows[k : k + 32]
+            out += np.bitwise_count(self.bits[at[:, None], sets] & masks[at][:, None]).sum(0, dtype=np.int64)
+        few = tokens[rank < 0]
+        if len(few):
+            owners = np.concatenate([self.owners[self.begin[t] : self.begin[t + 1]] for t in few.tolist()])
+            out += np.bincount(owners, minlength=len(self.sizes))[sets]
+        return out
+
+    def components(self) -> np.ndarray:
+        """The component of each set, one of its sets."""
+        percent, sizes, many = self.percent, self.sizes, self.many
+        of = np.arange(len(sizes))
+        stack = [(0, len(sizes), 0, of.copy(), np.zeros(len(sizes), np.int64))]
+        while stack:
+            a, b, depth, sets, overlap = stack.pop()
+            below = self.order[a:b]
+            n, least, rest = sizes[sets], int(sizes[below].min()), int(many[below].max()) - depth
+            stay = (sets > below.min()) & (int(sizes[below].max()) * 100 >= percent * n)
+            if (of[below] == of[below[0]]).all():
+                stay &= of[sets] != of[below[0]]
+            # J >= p needs overlap * (100 + p) >= p * (both sizes)
+            stay &= (overlap + np.minimum(rest, many[sets] - overlap)) * (100 + percent) >= percent * (n + np.maximum(least, -(-percent * n // 100)))
+            sets, overlap = sets[stay], overlap[stay]
+            if not len(sets):
+                continue
+            stop = int(self.common[a + 1 : b].min()) if b - a > 1 else int(many[below[0]])
+            if stop > depth:
+                overlap = overlap + self.overlaps(self.lines[below[0]][depth:stop], sets)
+            while a < b and many[self.order[a]] == stop:  # sets that end here
+                one = self.order[a]
+                linked = sets[(sets > one) & (overlap * (100 + percent) >= percent * (sizes[sets] + sizes[one]))]
+                found = np.unique(of[np.append(linked, one)])
+                if len(found) > 1:
+                    of[np.isin(of, found)] = found[0]
+                a += 1
+            cuts = [a, *(np.flatnonzero(self.common[a + 1 : b] == stop) + a + 1).tolist(), b] if a < b else []
+            stack.extend((i, j, stop, sets, overlap) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+        return of
+
+
 def _join_block(percent: int):
     def join(table: pa.Table) -> pa.Table:
         sizes, names = table.column("n").to_pylist(), table.column("node").to_pylist()
         lines = table.column("line").combine_chunks()
+        by_size = sorted(range(len(names)), key=lambda k: (sizes[k], names[k]))
+        if len(names) >= TOGETHER:
+            once = list({names[k]: k for k in reversed(by_size)}.values())[::-1]
+            of = SharedTree(percent, np.array([sizes[k] for k in once], np.int64), [np.frombuffer(lines[k].as_py(), np.uint64) for k in once]).components()
+            own = np.array([names[k] for k in once], np.int64)
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, own)
+            return pa.table({"a": own, "b": least[of]})
         tree = PrefixTree(percent)
-        for k in sorted(range(len(names)), key=lambda k: (sizes[k], names[k])):
+        for k in by_size:
             if names[k] not in tree.parent:
                 tree.add(names[k], sizes[k], np.frombuffer(lines[k].as_py(), np.uint64).tolist())
         return pa.table({"a": pa.array(names, pa.int64()), "b": pa.array([tree.find(x) for x in names], pa.int64())})

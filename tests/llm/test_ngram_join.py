@@ -1,8 +1,12 @@
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanlight.llm import ngram_join
+from spanlight.llm.components import connected_components
 from spanlight.llm.ngram_join import ngram_components
 
 
@@ -100,3 +104,64 @@ def test_rows_without_an_id_link_and_bridge(spark):
     assert got == sorted([(7, 4), (0, 4), (4, 4), (0, None), (9, 9), (0, 4)], key=str)
     apart = spark.createDataFrame([rows[0], rows[2]], "doc_id long, text string")
     assert {r.component_id for r in ngram_components(apart).collect()} == {7, 4}
+
+
+def block(seed, count, words):
+    """Near copies of one text of which about half link, as a block's table: (node, n, line)."""
+    rng = random.Random(seed)
+    sets = []
+    for k in range(count):
+        text = [(i, 0) for i in range(words)]
+        for _ in range(rng.randint(0, max(2, words // 20))):
+            i = rng.randrange(words)
+            text[i] = (i, rng.randint(1, 9) if rng.random() < 0.7 else -k - 1)
+        sets.append({hash(tuple(text[i : i + 5])) & (1 << 56) - 1 for i in range(words - 4)})
+    number = {}
+    for s in sets:
+        for x in s:
+            number[x] = number.get(x, 0) + 1
+    lines = [np.array(sorted(min(number[x], 62) << 57 | x for x in s if number[x] > 1), np.uint64).tobytes() for s in sets]
+    return sets, pa.table({"node": [7919 * k - count for k in range(count)], "n": [len(s) for s in sets], "line": pa.array(lines, pa.binary())})
+
+
+def one_by_one(table):
+    tree = ngram_join.PrefixTree(80)
+    for n, name, line in sorted(zip(table["n"].to_pylist(), table["node"].to_pylist(), table["line"].to_pylist(), strict=True)):
+        tree.add(name, n, np.frombuffer(line, np.uint64).tolist())
+    return {name: tree.find(name) for name in table["node"].to_pylist()}
+
+
+def test_all_sets_at_once_link_like_one_by_one():
+    for seed, (count, words) in enumerate([(33, 8), (60, 40), (90, 100), (250, 60), (64, 400)]):
+        sets, table = block(seed, count, words)
+        got = ngram_join._join_block(80)(table)
+        got = dict(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+        assert got == one_by_one(table) and len(set(got.values())) > 1
+        names = table["node"].to_pylist()
+        for i in range(count):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                assert got[names[i]] == got[names[j]] or 100 * both < 80 * (len(sets[i]) + len(sets[j]) - both)
+
+
+def test_a_large_block_of_near_copies_that_do_not_link_takes_a_fraction_of_one_by_one():
+    _, table = block(1, 700, 400)
+    began = time.process_time()
+    expected = one_by_one(table)
+    middle = time.process_time()
+    got = ngram_join._join_block(80)(table)
+    assert dict(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == expected
+    assert (time.process_time() - middle) * 3 < middle - began
+
+
+def test_the_plan_of_links_runs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    links = spark.range(40).selectExpr("id div 4 AS a", "id + 100 AS b").mapInArrow(count, "a long, b long")
+    assert {(r.node, r.component) for r in connected_components(links).collect()} == {(k, k) for k in range(10)} | {(k + 100, k // 4) for k in range(40)}
+    assert made.value == 40
