@@ -29,11 +29,12 @@ def _bins(df: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
 def overlap_pairs(a: DataFrame, b: DataFrame, width: int, window: int = 0, keys: Keys | None = None, how: str = "inner") -> DataFrame:
     """Rows of ``a`` and ``b`` (columns prefixed a_ and b_) with a.endtime > b.time - window and a.time < b.endtime + window.
 
+    That is all: an empty interval counts where it lies inside another, not at its edges.
     ``how``: inner, or left_semi and left_anti, which return rows of ``a``.
     """
     keys = keys or ["run_id"]
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns])
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("__from", F.col("b_time") - window).withColumn("__to", F.col("b_endtime") + window).where("__to > __from")
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("__from", F.col("b_time") - window).withColumn("__to", F.col("b_endtime") + window)
     left = _bins(left, F.col("a_time"), F.col("a_endtime") - 1, width)
     right = _bins(right, F.col("__from"), F.col("__to") - 1, width).withColumnRenamed("__bin", "__bin_b").withColumnRenamed("__low_bin", "__low_bin_b")
     same = (F.col("__bin") == F.col("__bin_b")) & (F.col("a_endtime") > F.col("__from")) & (F.col("a_time") < F.col("__to"))

@@ -179,10 +179,10 @@ def hitlets_from_hits(hits: DataFrame, before: int, after: int, channels: tuple[
 def hitlet_data(hitlets: DataFrame, records: DataFrame, gains: DataFrame, width: int, dt: int = 1) -> DataFrame:
     """Hitlets (with ``peak``, an id) cut to what records of their channel cover, with the scaled samples there: time, endtime, length, dt, data, area.
 
-    A place between two records is 0; a hitlet without any record goes.
+    A place between two records is 0; a hitlet without any record, or an empty one, goes.
     """
     source = with_gain(records.withColumn("endtime", F.col("time") + F.col("length").cast("long") * F.col("dt")), gains)
-    pairs = overlap_pairs(source, hitlets.select(*PEAK, "channel", "time", "endtime"), width, 0, ["run_id", "channel"])
+    pairs = overlap_pairs(source, hitlets.where("endtime > time").select(*PEAK, "channel", "time", "endtime"), width, 0, ["run_id", "channel"])
     covered = pairs.groupBy(F.col("b_run_id").alias("run_id"), F.col("b_peak").alias("peak")).agg(F.min(F.greatest("a_time", "b_time")).alias("__t"), F.max(F.least("a_endtime", "b_endtime")).alias("__e"))
     rest = [c for c in hitlets.columns if c not in ("time", "endtime", "length", "dt", "data", "area")]
     cut = hitlets.select(*rest).join(covered, PEAK).withColumnsRenamed({"__t": "time", "__e": "endtime"}).withColumn("dt", F.lit(dt)).withColumn("length", ((F.col("endtime") - F.col("time")) / dt).cast("int"))
