@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,22 +274,65 @@ def filter_waveforms(records: DataFrame, taps: list[float], pulse: list[str], fr
     return rows.withColumn("data", out).drop("__before", "__after", "__wide")
 
 
+#: Samples of merged peaks that a worker holds at once; a longer peak is held alone.
+MERGED_SAMPLES = 1 << 20
+
+
+def _spread(rows: pa.RecordBatch) -> pa.ListArray:
+    """The merged waveforms of rows with __at, __cuts and __sizes (lists with an entry for each piece) and __x (the pieces' samples on end)."""
+    numbers = lambda name: rows.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    at, cuts, sizes = numbers("__at"), numbers("__cuts"), numbers("__sizes")
+    x = rows.column("__x").flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+    lengths = rows.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    row = np.repeat(np.arange(rows.num_rows), rows.column("__at").value_lengths().to_numpy(zero_copy_only=False))
+    fine = sizes * cuts
+    place = np.arange(fine.sum()) + np.repeat(at - (np.cumsum(fine) - fine), fine)
+    each = np.repeat(cuts, sizes)
+    spread = np.repeat(x / each, each)
+    inside = (place >= 0) & (place < np.repeat(lengths[row], fine))
+    place += np.repeat(begins[row], fine)
+    data = np.bincount(place[inside], spread[inside], begins[-1]) if inside.any() else np.zeros(begins[-1])
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(data, pa.float64()))
+
+
+def _spread_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(batch.column("length").to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            most = (ends[low - 1] if low else 0) + MERGED_SAMPLES
+            high = max(low + 1, int(np.searchsorted(ends, most, "right")))
+            rows = batch.slice(low, high - low)
+            kept = [n for n in batch.schema.names if not n.startswith("__")]
+            yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in kept], _spread(rows)], [*kept, "data"])
+            low = high
+
+
 def merge_peaks(peaks: DataFrame, group: list[str]) -> DataFrame:
     """One peak for the disjoint peaks of each group: time, dt (the greatest common divisor), length, endtime, data, area, n_hits, n.
 
     Samples are cut to the common dt and spread evenly over the cuts.  Needs
-    time, dt, length, data, area and n_hits.  A group is a handful of peaks.
+    time, dt, length, data, area and n_hits.  A group is a handful of peaks:
+    they are gathered in one row, and each sample is moved to its place once.
     """
-    dts = F.collect_set("dt")
-    whole = peaks.groupBy(*group).agg(F.min("time").alias("time"), F.max_by(F.col("time") + F.col("length").cast("long") * F.col("dt"), "time").alias("endtime"), dts.alias("__dts"), F.sum("area").alias("area"), F.sum("n_hits").alias("n_hits"), F.count(F.lit(1)).alias("n"))
+    dts, end = F.collect_set("dt"), F.col("time") + F.col("length").cast("long") * F.col("dt")
+    data = F.slice("data", F.lit(1), F.col("length")).cast("array<double>")
+    piece = F.when(F.col("time").isNotNull() & F.col("dt").isNotNull() & (F.size(data) > 0), F.struct("time", "dt", data.alias("data")))
+    sums = [F.sum("area").alias("area"), F.sum("n_hits").alias("n_hits"), F.count(F.lit(1)).alias("n")]
+    whole = peaks.dropna(subset=group).groupBy(*group).agg(F.min("time").alias("time"), F.max_by(end, F.struct("time", end)).alias("endtime"), dts.alias("__dts"), *sums, F.collect_list(piece).alias("__pieces"))
     common = F.array_max(F.filter(F.sequence(F.lit(1), F.array_min("__dts").cast("int")), lambda d: F.forall("__dts", lambda x: x % d == 0)))
-    whole = whole.withColumn("dt", common).withColumn("length", F.floor((F.col("endtime") - F.col("time")) / F.col("dt")).cast("int")).drop("__dts")
-    pieces = peaks.join(whole.select(*group, F.col("time").alias("__t0"), F.col("dt").alias("__dt"), F.col("length").alias("__length")), group)
-    cuts = (F.col("dt") / F.col("__dt")).cast("int")
-    fine = F.flatten(F.transform(F.slice("data", F.lit(1), F.col("length")), lambda x: F.array_repeat(x.cast("double") / cuts, cuts)))
-    start = ((F.col("time") - F.col("__t0")) / F.col("__dt")).cast("int")
-    summed = sum_waveform(pieces.select(*group, "__length", start.alias("__at"), fine.alias("data")), group, "__length", "__at")
-    return whole.join(summed, group)
+    whole = whole.withColumn("dt", common).withColumn("length", F.floor((F.col("endtime") - F.col("time")) / F.col("dt")).cast("int")).where((F.size("__pieces") > 0) & (F.col("length") > 0))
+    of = lambda value: F.transform("__pieces", value)
+    rows = whole.drop("__dts", "__pieces").columns
+    ready = whole.select(
+        *rows,
+        of(lambda p: ((p["time"] - F.col("time")) / F.col("dt")).cast("int")).alias("__at"),
+        of(lambda p: (p["dt"] / F.col("dt")).cast("int")).alias("__cuts"),
+        of(lambda p: F.size(p["data"])).alias("__sizes"),
+        F.flatten("__pieces.data").alias("__x"),
+    )
+    return ready.mapInArrow(_spread_batches, T.StructType([*ready.select(*rows).schema.fields, T.StructField("data", T.ArrayType(T.DoubleType()))]))
 
 
 def natural_break(data: Column, threshold: float, wing: int = 0, low: bool = False) -> Column:
