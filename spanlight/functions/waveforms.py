@@ -170,12 +170,27 @@ def find_hits(records: DataFrame, threshold: Column, row_id: str = "row_id", key
     return rows.select(*keys, row_id, "left", "right", (F.col("time") + F.col("left") * F.col("dt")).alias("time"), (F.col("time") + F.col("right") * F.col("dt")).alias("endtime"), area.alias("area"), "height", first.alias("max_sample"))
 
 
+def placed(entries: Column, n: Column, zero: Column) -> Column:
+    """Array of ``n`` values: ``zero`` but at the places of ``entries``, structs of a place i from 0 to n - 1, each once, and a value x.
+
+    Entries are sorted and the zeros between them filled in, so it takes no
+    longer than the array is, but for the sorting.  Null entries are none.
+    """
+    zeros = lambda k: F.array_repeat(zero, k)
+
+    def fill(e: Column) -> Column:
+        behind = lambda j: F.coalesce(F.get(e, j - 1)["i"], F.lit(-1)) + 1
+        return F.concat(F.flatten(F.transform(e, lambda s, j: F.concat(zeros(s["i"] - behind(j)), F.array(F.coalesce(s["x"], zero))))), zeros(n - behind(F.size(e))))
+
+    return F.coalesce(F.get(F.transform(F.array(F.sort_array(entries)), fill), F.lit(0)), zeros(n))
+
+
 def sum_waveform(pieces: DataFrame, keys: list[str], length: str, start: str) -> DataFrame:
     """Arrays ``data`` of rows with the same keys added up, each from sample ``start`` on, in an array of ``length`` samples."""
     samples = pieces.select(*keys, F.col(length).alias("__n"), (F.col(start)).alias("__start"), F.posexplode("data").alias("pos", "x")).withColumn("i", F.col("__start") + F.col("pos")).where("i >= 0 AND i < __n")
     sums = samples.groupBy(*keys, "__n", "i").agg(F.sum("x").alias("x"))
-    maps = sums.groupBy(*keys, "__n").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("__m"))
-    return maps.select(*keys, F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.coalesce(F.try_element_at(F.col("__m"), i), F.lit(0))).alias("data"))
+    lists = sums.groupBy(*keys, "__n").agg(F.collect_list(F.struct("i", "x")).alias("__e"))
+    return lists.select(*keys, placed(F.col("__e"), F.col("__n"), F.lit(0).cast(sums.schema["x"].dataType)).alias("data"))
 
 
 def conditional_entropy(data: Column, template: Column | None = None) -> Column:

@@ -61,8 +61,8 @@ def _gathered(peaks: DataFrame, samples: DataFrame, n_top: int) -> DataFrame:
     per_channel = per_channel.groupBy(*PEAK).agg(F.sum("y").alias("area"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "y")))).alias("area_per_channel"))
     top = F.sum(F.when(F.col("a_channel") < n_top, F.col("y")).otherwise(0.0)).alias("t")
     places = samples.groupBy(F.col("b_run_id").alias("run_id"), F.col("b_peak").alias("peak"), "i").agg(F.sum("y").alias("y"), top)
-    places = places.groupBy(*PEAK).agg(F.map_from_entries(F.collect_list(F.struct("i", "y"))).alias("__m"), F.map_from_entries(F.collect_list(F.struct("i", "t"))).alias("__top"))
-    dense = lambda m: F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.coalesce(F.try_element_at(F.col(m), i), F.lit(0.0)))
+    places = places.groupBy(*PEAK).agg(F.collect_list(F.struct("i", F.col("y").alias("x"))).alias("__m"), F.collect_list(F.struct("i", F.col("t").alias("x"))).alias("__top"))
+    dense = lambda m: W.placed(F.col(m), F.col("length"), F.lit(0.0))
     rest = [c for c in peaks.columns if c not in ("area", "area_per_channel", "data", "data_top")]
     out = peaks.select(*rest).join(places, PEAK, "left").join(per_channel, PEAK, "left").withColumn("data", dense("__m"))
     out = out.withColumn("data_top", dense("__top")) if n_top else out
@@ -130,11 +130,13 @@ def add_lone_hits(peaks: DataFrame, hits: DataFrame, gains: DataFrame, width: in
     """``peaks`` with the scaled areas of the hits that they hold whole added to area, to area_per_channel, and to the sample in which each hit begins."""
     pairs = overlap_pairs(with_gain(hits, gains).select("run_id", "channel", "time", "endtime", "area", "gain"), peaks.select("run_id", "peak", "time", "endtime", "dt"), width)
     inside = pairs.where("b_time <= a_time AND a_endtime <= b_endtime").select(F.col("b_run_id").alias("run_id"), F.col("b_peak").alias("peak"), F.col("a_channel").alias("channel"), (F.col("a_area") * F.col("a_gain")).alias("y"), F.floor((F.col("a_time") - F.col("b_time")) / F.col("b_dt")).cast("int").alias("i"))
-    sums = lambda key, name: inside.groupBy(*PEAK, key).agg(F.sum("y").alias("y")).groupBy(*PEAK).agg(F.sum("y").alias("__all"), F.map_from_entries(F.collect_list(F.struct(key, "y"))).alias(name))
-    places, channels = sums("i", "__places").drop("__all"), sums("channel", "__channels")
+    sums = lambda key: inside.groupBy(*PEAK, key).agg(F.sum("y").alias("y")).groupBy(*PEAK)
+    places = sums("i").agg(F.collect_list(F.struct("i", F.col("y").alias("x"))).alias("__places"))
+    channels = sums("channel").agg(F.sum("y").alias("__all"), F.map_from_entries(F.collect_list(F.struct("channel", "y"))).alias("__channels"))
     out = peaks.join(places, PEAK, "left").join(channels, PEAK, "left")
     some = F.col("__all").isNotNull()
-    out = out.withColumn("data", F.when(some, F.transform("data", lambda x, i: x + F.coalesce(F.try_element_at(F.col("__places"), i), F.lit(0.0)))).otherwise(F.col("data").cast("array<double>")))
+    added = W.placed(F.filter("__places", lambda s: s["i"] < F.size("data")), F.size("data"), F.lit(0.0))
+    out = out.withColumn("data", F.when(some, F.zip_with("data", added, lambda x, y: x + y)).otherwise(F.col("data").cast("array<double>")))
     both = F.map_zip_with("area_per_channel", "__channels", lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
     out = out.withColumn("area_per_channel", F.when(some, both).otherwise(F.col("area_per_channel")))
     return out.withColumn("area", F.col("area") + F.coalesce("__all", F.lit(0.0))).drop("__places", "__channels", "__all")
